@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, fingerprints, mixing, packing, token_counts
+from pagemill.llm import chat, fingerprints, language, mixing, packing, token_counts, topk
 from pagemill.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(100)) == 0)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -37,15 +41,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_topk": op3_topk,
     "op6_fingerprints": op6_fingerprints,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_mixing": op8_mixing,
+    "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -65,4 +75,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op7_chat_formatting": OP7_SQL, "op8_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op3_topk": topk.ORACLE, "op7_chat_formatting": OP7_SQL, "op8_mixing": mixing.ORACLE}
