@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, fingerprints, jaccard_join, language, mixing, packing, suffix_dedup, token_counts, topk
+from pagemill.llm import chat, fingerprints, jaccard_join, language, mixing, packing, substring_dedup, suffix_dedup, token_counts, topk
 from pagemill.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cleaned(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cleaned(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_topk": op3_topk,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_mixing": op8_mixing,
