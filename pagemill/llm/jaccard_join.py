@@ -9,16 +9,18 @@ A document is the set of its distinct 5-word shingles (64-bit hashes of lower-ca
 2. Shingles are ordered rare first by (sketch count, hash), the same order everywhere; a document of n shingles joins on
    its first ``n - ceil(3n/4) + 1``. The sketch only orders, so its collisions cost time, never a link.
 3. Prefix shingles are dealt into buckets as packed arrays; those of one document only fall away. Of a shingle that
-   m documents share, first only neighbours are paired, in the order of set size and in two seeded orders: some 3m pairs
-   instead of m*m/2. Pairs that pass the length and positional filters are verified once, and linked ones are joined into
-   components.
+   m documents share, first only neighbours are paired, in the order of set size and in a seeded order, and each document
+   with the one whose shingles are the most usual (the original of a group of near copies): some 3m pairs instead of
+   m*m/2. Pairs that pass the length and positional filters are verified once, and linked ones are joined into components.
 4. Shingles all of whose documents are by now in one component are done. Of the others, every pair of documents in different
-   components that passes the filters and was not verified before is verified. So no link between components can be
-   missed, and no pairs within a group of near copies are spelled out.
+   components that passes the length, positional and suffix filters and was not verified before is verified. So no link
+   between components can be missed, and no pairs within a group of near copies are spelled out. The suffix filter bounds
+   from below how many shingles two sets do not share, here by signatures: a bit for each range of hashes, whether the set
+   has an odd number in it; where bits differ, the sets do.
 
 A shingle that far more documents share than others (``HOT`` times) never meets in one array: its rows are salted for step
-3 and joined by Spark, which splits such a key, in step 4. Verification gets both texts by joins on ids, hashes them anew,
-applies the suffix filter (the sets' counts in 64 ranges of hashes bound their difference) and counts common shingles.
+3 and joined by Spark, which splits such a key, in step 4. Verification gets both texts by joins on ids, hashes them anew and
+counts common shingles.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing; fewer than five
 words are one shingle; rows of equal id are one document; rows without id get a null component unless their set has a class;
@@ -44,7 +46,9 @@ from pagemill.llm.components import components
 SHARE = (75, 100)
 #: Counters of the frequency sketch (a power of two), and the pieces in which it travels.
 SKETCH = 1 << 24
-PIECES = 64
+PIECES = 256
+#: Bits of the longest parity signature.
+PARITY = 2048
 #: A shingle in more documents than this, and than 4 times what is usual, is hot.
 HOT = 50_000
 #: Rows of a hot shingle that are ordered together.
@@ -62,56 +66,66 @@ def prefix_length(n: int) -> int:
     return n - -(-SHARE[0] * n // SHARE[1]) + 1
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each range of hashes: whether the set has an odd number of shingles in it."""
+    bits = min(max(256, 1 << (2 * len(shingles) - 1).bit_length()), PARITY)
+    return np.packbits((np.bincount((shingles >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, sig, bits) of each row, and rows (piece, cells, counts) of each task's share of the sketch, cells not 0 only."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bits", pa.binary()), ("piece", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+    step = SKETCH // PIECES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.uint16)
-        used = False
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+        counts = None
         for batch in batches:
-            ns, sigs, waiting, held = [], [], [], 0
+            ns, sigs, bits, waiting, held = [], [], [], [], 0
+            counts = np.zeros(SKETCH, dtype=np.uint8) if counts is None else counts
             for _, s in shingle_sets(batch.column(1)):
                 ns.append(len(s))
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                bits.append(parity(s) if len(s) else None)
                 waiting.append(s)
                 held += len(s)
                 if held > _PACK:
-                    used |= _count(counts, waiting)
+                    _count(counts, waiting)
                     waiting, held = [], 0
-            used |= _count(counts, waiting)
-            none = [None] * len(ns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
-        if used:
-            for k, part in enumerate(np.split(counts, PIECES)):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=schema)
+            _count(counts, waiting)
+            none = pa.nulls(len(ns), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(ns), pa.int32()), none, none], schema=schema)
+        for k in range(PIECES if counts is not None else 0):
+            cells = np.flatnonzero(counts[k * step : (k + 1) * step])
+            if len(cells):
+                one = counts[k * step + cells].tobytes()
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([cells.astype(np.uint16).tobytes()], pa.binary()), pa.array([one], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, piece int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, sig binary, bits binary, piece int, cells binary, counts binary")
 
 
-def _count(counts: np.ndarray, sets: list[np.ndarray]) -> bool:
-    if not sets:
-        return False
-    cells, n = np.unique(np.concatenate(sets) & np.uint64(SKETCH - 1), return_counts=True)
-    cells = cells.astype(np.int64)
-    counts[cells] = np.minimum(counts[cells].astype(np.int64) + n, 65535)
-    return len(cells) > 0
+def _count(counts: np.ndarray, sets: list[np.ndarray]) -> None:
+    if sets:
+        cells, n = np.unique((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
+        counts[cells] = np.minimum(counts[cells] + n, 255)
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
     """The summed sketch: SKETCH 16-bit counters, whatever the input."""
+    step = SKETCH // PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                more = np.frombuffer(raw.as_buffer(), dtype=np.uint16)
-                sums[k] = more.astype(np.uint32) if k not in sums else np.minimum(sums[k] + more, 65535)
+            for k, cells, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own = sums.setdefault(k, np.zeros(step, dtype=np.uint32))
+                own[np.frombuffer(cells.as_buffer(), dtype=np.uint16)] += np.frombuffer(raw.as_buffer(), dtype=np.uint8)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype(np.uint16).tobytes() for s in sums.values()], pa.binary())], ["piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 65535).astype(np.uint16).tobytes() for s in sums.values()], pa.binary())], ["piece", "counts"])
 
     out = np.zeros(SKETCH, dtype=np.uint16)
-    rows = profiles.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece").mapInArrow(run, "piece int, counts binary").collect()
-    for r in rows:
-        out[r["piece"] * (SKETCH // PIECES) : (r["piece"] + 1) * (SKETCH // PIECES)] = np.frombuffer(r["counts"], dtype=np.uint16)
+    for r in profiles.where("piece is not null").select("piece", "cells", "counts").repartition("piece").mapInArrow(run, "piece int, counts binary").collect():
+        out[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(r["counts"], dtype=np.uint16)
     return out
 
 
@@ -119,22 +133,24 @@ def _prefixes(docs: DataFrame, sketch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
-            ns, tokens = [], []
+            ns, tokens, usual = [], [], []
             for _, s in shingle_sets(batch.column(1)):
                 ns.append(len(s))
+                usual.append(0)
                 if len(s):
                     seen = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                     # s is sorted, so a stable sort by count orders by (count, hash).
+                    usual[-1] = int(1000 * np.log1p(seen).mean())
                     tokens.append(s[np.argsort(seen, kind="stable")[: prefix_length(len(s))]].tobytes())
                 else:
                     tokens.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(usual, pa.int32()), pa.array(tokens, pa.binary())], ["doc_id", "n", "usual", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix binary").where("prefix is not null")
+    return docs.mapInArrow(run, "doc_id long, n long, usual int, prefix binary").where("prefix is not null")
 
 
 def _dealt(prefixes: DataFrame, sketch, buckets: int, hot: int) -> DataFrame:
-    """Packed (shingle, document, set size, position) by bucket of the shingle; hot shingles apart, in buckets from ``buckets`` on."""
+    """Packed (shingle, document, set size, position, how usual its shingles are) by bucket of the shingle; hot shingles apart, in buckets from ``buckets`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -142,19 +158,19 @@ def _dealt(prefixes: DataFrame, sketch, buckets: int, hot: int) -> DataFrame:
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t, d, n, p = (np.concatenate(c) for c in zip(*parts, strict=True))
+            t, d, n, p, u = (np.concatenate(c) for c in zip(*parts, strict=True))
             to = (t >> np.uint64(20)).astype(np.int64) % buckets
             busy = counts[(t & np.uint64(SKETCH - 1)).astype(np.int64)] >= hot
             to[busy] = buckets + (mix(d[busy].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.r_[True, np.diff(to[order]) > 0, True])
             rows = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(to[r[0]]) for r in rows], pa.int32())] + [pa.array([c[r].tobytes() for r in rows], pa.binary()) for c in (t, d, n, p)], ["bucket", "t", "d", "n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[r[0]]) for r in rows], pa.int32())] + [pa.array([c[r].tobytes() for r in rows], pa.binary()) for c in (t, d, n, p, u)], ["bucket", "t", "d", "n", "p", "u"])
 
         for batch in batches:
-            for d, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for d, n, usual, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 t = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
-                parts.append((t, np.full(len(t), d, dtype=np.int64), np.full(len(t), n, dtype=np.int32), np.arange(len(t), dtype=np.int32)))
+                parts.append((t, np.full(len(t), d, dtype=np.int64), np.full(len(t), n, dtype=np.int32), np.arange(len(t), dtype=np.int32), np.full(len(t), usual, dtype=np.int16)))
                 held += len(t)
                 if held >= _PACK:
                     yield from flush()
@@ -162,7 +178,7 @@ def _dealt(prefixes: DataFrame, sketch, buckets: int, hot: int) -> DataFrame:
         if parts:
             yield from flush()
 
-    return prefixes.mapInArrow(run, "bucket int, t binary, d binary, n binary, p binary")
+    return prefixes.mapInArrow(run, "bucket int, t binary, d binary, n binary, p binary, u binary")
 
 
 def possible(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray) -> np.ndarray:
@@ -173,55 +189,62 @@ def possible(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray) ->
     return length & (most >= least_common(na + nb))
 
 
-def _neighbours(t, d, n, p) -> np.ndarray:
-    """Pairs of documents that are next to each other under a shingle, in three orders."""
+def _neighbours(t, d, n, p, u) -> np.ndarray:
+    """Pairs under a shingle: neighbours in two orders, and each document with the one whose shingles are the most usual."""
     found = []
-    for key in (n, mix(d.astype(np.uint64)), mix(d.astype(np.uint64) + np.uint64(1))):
-        o = np.lexsort((d, key, t))
-        same = np.flatnonzero((t[o][1:] == t[o][:-1]) & (d[o][1:] != d[o][:-1]))
-        a, b = o[same], o[same + 1]
-        ok = possible(n[a], p[a], n[b], p[b])
+
+    def pair(a: np.ndarray, b: np.ndarray) -> None:
+        ok = (d[a] != d[b]) & possible(n[a], p[a], n[b], p[b])
         a, b = d[a[ok]], d[b[ok]]
         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+
+    for key in (n, mix(d.astype(np.uint64))):
+        o = np.lexsort((d, key, t))
+        same = np.flatnonzero(t[o][1:] == t[o][:-1])
+        pair(o[same], o[same + 1])
+    o = np.lexsort((d, -u.astype(np.int32), t))
+    start = np.flatnonzero(np.r_[True, t[o][1:] != t[o][:-1]])
+    pair(np.repeat(o[start], np.diff(np.r_[start, len(o)])), o)
     every = np.concatenate(found)
     return np.unique(every, axis=0) if len(every) else every
 
 
-_GROUPS = "a long, b long, t long, d long, n int, p int, hot boolean"
+_GROUPS = "a long, b long, t long, d long, n int, p int, u short, hot boolean"
 
 
 def _groups(dealt: DataFrame, buckets: int) -> DataFrame:
     """Neighbouring pairs (a, b), and rows (t, d, n, p) of shingles that at least two documents have in their prefixes."""
 
     def rows(columns: list, names: tuple, size: int) -> pa.RecordBatch:
-        types = {"a": pa.int64(), "b": pa.int64(), "t": pa.int64(), "d": pa.int64(), "n": pa.int32(), "p": pa.int32(), "hot": pa.bool_()}
+        types = {"a": pa.int64(), "b": pa.int64(), "t": pa.int64(), "d": pa.int64(), "n": pa.int32(), "p": pa.int32(), "u": pa.int16(), "hot": pa.bool_()}
         given = dict(zip(names, columns, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(given[k], type=v) if k in given else pa.nulls(size, v) for k, v in types.items()], list(types))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for batch in batches:
-            for bucket, *raw in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in range(1, 5)), strict=True):
-                t, d, n, p = (np.frombuffer(x.as_buffer(), dtype=kind) for x, kind in zip(raw, (np.uint64, np.int64, np.int32, np.int32), strict=True))
+            for bucket, *raw in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in range(1, 6)), strict=True):
+                t, d, n, p, u = (np.frombuffer(x.as_buffer(), dtype=kind) for x, kind in zip(raw, (np.uint64, np.int64, np.int32, np.int32, np.int16), strict=True))
                 if bucket >= buckets:
-                    yield rows([t.view(np.int64), d, n, p, np.ones(len(t), dtype=bool)], ("t", "d", "n", "p", "hot"), len(t))
+                    yield rows([t.view(np.int64), d, n, p, u, np.ones(len(t), dtype=bool)], ("t", "d", "n", "p", "u", "hot"), len(t))
                 else:
-                    parts.append((t, d, n, p))
+                    parts.append((t, d, n, p, u))
         if not parts:
             return
-        t, d, n, p = (np.concatenate(c) for c in zip(*parts, strict=True))
+        t, d, n, p, u = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
         o = np.argsort(t)
         run_start = np.flatnonzero(np.r_[True, t[o][1:] != t[o][:-1]])
         size = np.diff(np.r_[run_start, len(t)])
         o = o[np.repeat(size > 1, size)]
-        t, d, n, p = t[o], d[o], n[o], p[o]
-        pairs = _neighbours(t, d, n, p)
+        t, d, n, p, u = t[o], d[o], n[o], p[o], u[o]
+        pairs = _neighbours(t, d, n, p, u)
         for k in range(0, len(pairs), 50_000):
             part = pairs[k : k + 50_000]
             yield rows([part[:, 0], part[:, 1]], ("a", "b"), len(part))
         for k in range(0, len(t), 50_000):
             s = slice(k, k + 50_000)
-            yield rows([t[s].view(np.int64), d[s], n[s], p[s], np.zeros(len(t[s]), dtype=bool)], ("t", "d", "n", "p", "hot"), len(t[s]))
+            yield rows([t[s].view(np.int64), d[s], n[s], p[s], u[s], np.zeros(len(t[s]), dtype=bool)], ("t", "d", "n", "p", "u", "hot"), len(t[s]))
 
     return dealt.repartition(buckets, "bucket").mapInArrow(run, _GROUPS)
 
@@ -237,57 +260,79 @@ def _possible(one: str, other: str):
 def _hot_neighbours(rows: DataFrame) -> DataFrame:
     """Neighbours under hot shingles: within salted shares, and between the heads of shares."""
     salted = rows.withColumn("h", F.xxhash64("d"))
-    sizes = salted.groupBy("t").agg(F.count("*").alias("m"))
+    sizes = salted.groupBy("t").agg(F.count("*").alias("m"), F.max(F.struct("u", F.col("d"), "n", "p")).alias("top"))
     salted = salted.join(sizes, "t").withColumn("salt", F.pmod("h", F.ceil(F.col("m") / SALT))).drop("m")
-    out = None
+    linked = lambda near: near.where(_possible("x", "y") & (F.col("x.d") != F.col("y.d"))).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b"))
+    out = linked(salted.select(F.struct("d", "n", "p").alias("x"), F.struct("top.d", "top.n", "top.p").alias("y")))
     for order in ("n", "h"):
         w = W.partitionBy("t", "salt").orderBy(order, "d")
         ranked = salted.withColumn("before", F.lag(F.struct("d", "n", "p")).over(w)).withColumn("k", F.row_number().over(w))
         heads = ranked.where("k <= 4").withColumn("before", F.lag(F.struct("d", "n", "p")).over(W.partitionBy("t").orderBy("n", "d")))
         near = ranked.unionByName(heads).where("before is not null").select(F.struct("d", "n", "p").alias("x"), F.col("before").alias("y"))
-        near = near.where(_possible("x", "y") & (F.col("x.d") != F.col("y.d"))).select(F.least("x.d", "y.d").alias("a"), F.greatest("x.d", "y.d").alias("b"))
-        out = near if out is None else out.unionByName(near)
+        out = out.unionByName(linked(near))
     return out
 
 
-def _open_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def differ(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> np.ndarray:
+    """At least so many shingles are in one set only: unequal bits of the signatures (rows of words), folded to the shorter."""
+    size = min(size_a, size_b)
+    fold = lambda x, n: np.bitwise_xor.reduce(x[:, :n].reshape(len(x), n // size, size), axis=1)
+    return np.bitwise_count(fold(a, size_a) ^ fold(b, size_b)).sum(axis=1)
+
+
+def open_pairs(t, d, n, p, c, bits) -> Iterator[np.ndarray]:
+    """Pairs under a shingle of different components that pass the length, positional and suffix filters.
+
+    The rows of a shingle stand in order of set size; step by step each row meets the next one after it, until sizes pass
+    the length filter. ``bits``: signatures, as rows of 64-bit words, zero beyond their own length.
+    """
+    o = np.lexsort((d, n, t))
+    t, d, n, p, c, bits = t[o], d[o], n[o].astype(np.int64), p[o], c[o], bits[o]
+    size = np.minimum(np.maximum(256, 1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64)), PARITY) // 64
+    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    span = np.diff(np.r_[start, len(t)])
+    end = np.repeat(start + span, span)
+    i, step = np.arange(len(t)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < end[i]]
+        i = i[SHARE[1] * n[i] >= SHARE[0] * n[i + step]]
+        for k in range(0, len(i), 100_000):
+            a = i[k : k + 100_000]
+            b = a + step
+            ok = (c[a] != c[b]) & (d[a] != d[b])
+            a, b = a[ok], b[ok]
+            ok = possible(n[a], p[a], n[b], p[b])
+            a, b = a[ok], b[ok]
+            most = n[a] + n[b] - 2 * least_common(n[a] + n[b])
+            keep = np.zeros(len(a), dtype=bool)
+            for x, y in {(int(x), int(y)) for x, y in zip(size[a], size[b], strict=True)}:
+                own = np.flatnonzero((size[a] == x) & (size[b] == y))
+                keep[own] = differ(bits[a[own]], bits[b[own]], x, y) <= most[own]
+            if keep.any():
+                yield np.unique(np.stack([np.minimum(d[a[keep]], d[b[keep]]), np.maximum(d[a[keep]], d[b[keep]])], axis=1), axis=0)
+
+
+def _open_pairs(rows: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
     """All pairs under a shingle whose documents are in different components and pass the filters."""
     marked = rows.join(labels, F.col("d") == F.col("node"), "left").select("t", "d", "n", "p", "hot", F.coalesce("component", "d").alias("c"))
     marked = materialize(marked, "jaccard-marked")
     split = marked.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    left = materialize(marked.join(split, "t", "left_semi"), "jaccard-open")
+    bits = profiles.where("bits is not null and doc_id is not null").groupBy("doc_id").agg(F.min("bits").alias("bits"))
+    left = marked.join(split, "t", "left_semi").join(bits, F.col("d") == F.col("doc_id")).drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        parts, words = [], []
+        for batch in batches:
+            parts.append([batch.column(k).to_numpy() for k in range(5)])
+            words.append(np.frombuffer(b"".join(x.as_buffer().to_pybytes().ljust(PARITY // 8, b"\0") for x in batch.column(5)), dtype=np.uint64).reshape(-1, PARITY // 64))
         if not parts:
             return
-        t, d, n, p, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        o = np.lexsort((d, n, t))
-        t, d, n, p, c = t[o], d[o], n[o], p[o], c[o]
-        cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-        found, held = [], 0
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            # Sorted by size: the partners of a row end where sizes pass 4/3 of its own.
-            last = lo + np.searchsorted(n[lo:hi], n[lo:hi] * SHARE[1] // SHARE[0], side="right")
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, last[i - lo])
-                j = j[c[j] != c[i]]
-                j = j[possible(np.full(len(j), n[i]), p[i], n[j], p[j])]
-                if len(j):
-                    found.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], axis=1))
-                    held += len(j)
-            if held > _PACK:
-                yield from emit(found)
-                found, held = [], 0
-        if found:
-            yield from emit(found)
-
-    def emit(found: list) -> Iterator[pa.RecordBatch]:
-        pairs = np.unique(np.concatenate(found), axis=0)
-        for k in range(0, len(pairs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 50_000, 0]), pa.array(pairs[k : k + 50_000, 1])], ["a", "b"])
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        for pairs in open_pairs(*columns, np.concatenate(words)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
 
-    plain = left.where("not hot").select("t", "d", "n", "p", "c").repartition("t").mapInArrow(run, "a long, b long")
+    plain = left.where("not hot").select("t", "d", "n", "p", "c", "bits").repartition("t").mapInArrow(run, "a long, b long")
     hot = left.where("hot")
     x, y = hot.alias("x"), hot.alias("y")
     busy = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.d") < F.col("y.d")) & (F.col("x.c") != F.col("y.c")) & _possible("x", "y"))
@@ -301,20 +346,18 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = {}, {}
+            sets: dict = {}
             for k in (0, 1):
                 keys, texts = batch.column(k).to_pylist(), batch.column(k + 2)
                 first = {key: at for at, key in reversed(list(enumerate(keys)))}
                 fresh = [key for key in first if key not in sets]
                 for (_, s), key in zip(shingle_sets(texts.take(pa.array([first[key] for key in fresh]))), fresh, strict=True):
                     sets[key] = s
-                    ids[key] = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64)
             a, b = [], []
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total = len(sets[x]) + len(sets[y])
                 need = least_common(total)
-                # Suffix filter: sets differ by at least what their counts in ranges differ by.
-                if not total or np.abs(ids[x] - ids[y]).sum() > total - 2 * need:
+                if SHARE[1] * min(len(sets[x]), len(sets[y])) < SHARE[0] * max(len(sets[x]), len(sets[y])):
                     continue
                 if len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= need:
                     a.append(x)
@@ -333,17 +376,17 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     counts = _sketch(profiles)
     hot = min(65535, max(HOT, 4 * int(np.median(counts))))
     sketch = spark.sparkContext.broadcast(counts)  # SKETCH 16-bit counters
-    rows = profiles.where("piece is null").select("doc_id", "n", "sig")
+    rows = profiles.where("piece is null").select("doc_id", "n", "sig", "bits")
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     buckets = shuffle_partitions(spark)
     reps = _prefixes(docs, sketch).join(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     groups = materialize(_groups(_dealt(reps, sketch, buckets, hot), buckets), "jaccard-groups")
-    shingles = groups.where("t is not null").select("t", "d", "n", "p", "hot")
+    shingles = groups.where("t is not null").select("t", "d", "n", "p", "u", "hot")
     near = groups.where("a is not null").select("a", "b").unionByName(_hot_neighbours(shingles.where("hot").drop("hot")))
     tried = materialize(near.distinct(), "jaccard-pairs")
     links = materialize(verified(tried, docs).distinct(), "jaccard-links")
     labels = components(links, "jaccard-stars")
-    more = materialize(_open_pairs(shingles, labels).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = materialize(_open_pairs(shingles, labels, rows).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     found = materialize(verified(more, docs).distinct(), "jaccard-links")
     if found.limit(1).count():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found), "jaccard-stars")
