@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes that separate words: blank and \t \n \v \f \r.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -57,6 +59,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def squeezed(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with its texts compressed each on its own, as binary (null as empty), so that a shuffle of them moves less."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            z = pa.array([pack.compress(t.as_buffer() or b"") for t in batch.column(at).fill_null("")], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([z if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in df.schema]))
+
+
+def inflated(column: pa.Array) -> list[bytes]:
+    """The texts' UTF-8 bytes."""
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(z.as_buffer()) for z in column]
+
+
+def unsqueezed(df: DataFrame, text: str = "text") -> DataFrame:
+    """Undoes ``squeezed``."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.array([b.decode() for b in inflated(batch.column(at))], type=pa.string())
+            yield pa.RecordBatch.from_arrays([t if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType) for f in df.schema]))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)

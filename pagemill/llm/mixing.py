@@ -56,7 +56,7 @@ def water_fill(sources: DataFrame, budget: float = BUDGET, max_epochs: float = M
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source, source_size, target, taken (words, repeats counted) for each row of ``docs``."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))) 
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source")).withColumn("h", order).withColumn("bucket", F.substring("h", 1, 3))
     parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     sources = parts.groupBy("source").agg(F.sum("part").alias("source_size"))

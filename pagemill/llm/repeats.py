@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import materialize
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(uid, doc_id, sha, text): rows of equal id and text have equal uid."""
-    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def keyed(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(uid, doc_id, sha, text) and the columns to carry: rows of equal id and text have equal uid."""
+    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
     kept = kept.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    return kept.select(F.xxhash64("doc_id", "sha").alias("uid"), "doc_id", "sha", "text")
+    return kept.select(F.xxhash64("doc_id", "sha").alias("uid"), "doc_id", "sha", "text", *carry)
 
 
 def classes(rows: DataFrame) -> DataFrame:

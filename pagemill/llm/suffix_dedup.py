@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm.common import arrow_rows, materialize, mix, shuffle_partitions, text_slices
 from pagemill.llm.repeats import anchor_runs, anchored, classes, keyed, least_in_window, repeated_anchors
@@ -331,9 +332,13 @@ def removed(data: np.ndarray, whole: bool, runs: tuple[np.ndarray, np.ndarray],
     return np.cumsum(edge[:-1]) > 0
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; ``with_text`` adds what is left, cut at characters."""
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``carry``, also what is left of the text, cut at
+    characters, as kept, and the columns named."""
     rows, found = spans(docs, doc_id, text, length, group)
+    with_text, carry = carry is not None, carry or ()
+    if carry:
+        rows = keyed(docs, doc_id, text, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,8 +363,11 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                     c.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [pa.array(c, type=k) for c, k in zip(out, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[: 4 + with_text], *([batch.column(4)] if with_text else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "uid"] * with_text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[: 4 + with_text], *batch.columns[4:]], names)
 
     arrow_rows(docs.sparkSession, 300)
-    joined = rows.join(found, "uid", "left").select("doc_id", "text", "whole", "runs", "uid")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, uid long" * with_text)
+    joined = rows.join(found, "uid", "left").select("doc_id", "text", "whole", "runs", *carry)
+    fields = [T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()))]
+    fields += [T.StructField("kept", T.StringType())] * with_text + joined.schema.fields[4:]
+    names = [f.name for f in fields]
+    return joined.mapInArrow(run, T.StructType(fields))
