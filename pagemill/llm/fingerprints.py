@@ -7,10 +7,10 @@ hold), containment and the count of distinct shingles; below k shingles these ar
 
 ``neighbours`` lines documents up in descending order of id and hands each to a function with the next one: ids are dealt
 into ranges at bounds found from quantiles, each range is sorted by Spark in its own task (spilling if need be) and read
-as a stream; the first document of every range also goes to the range before it. Texts are shuffled once.
+as a stream; the first document of every range also goes to the range before it. Texts are shuffled once, compressed.
 
 Defined results: a null text is empty; a text without words has the empty sketch, and two empty sketches have likeness 1;
-fewer than five words are one shingle; equal ids follow each other in the order of their texts; a null id comes last; the
+fewer than five words are one shingle; equal ids follow each other in an order that their texts fix; a null id comes last; the
 only row of a table is its own next; an empty table gives no rows.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_rows, shingle_sets, shuffle_partitions
+from pagemill.llm.common import arrow_rows, inflated, shingle_sets, shuffle_partitions, squeezed
 
 K = 256
 
@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             return done
 
         for batch in batches:
-            texts = batch.column(2).fill_null("").to_pylist()
+            texts = [t.decode() for t in inflated(batch.column(2))]
             for part, key, own, borrowed, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist(), sketches(texts, k), strict=True):
                 now = (part, key, own, a)
                 if waiting is not None and waiting[0] == part:
@@ -143,5 +143,5 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             yield flush()
 
     arrow_rows(spark, 500)
-    placed = rows.repartition(parts, "part").sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
+    placed = squeezed(rows.select("part", "doc_id", "text", "borrowed")).repartition(parts, "part").sortWithinPartitions("part", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
     return placed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_next double, n_shingles double")
