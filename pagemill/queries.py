@@ -1,4 +1,203 @@
-"""Queries of the document-conversion operators, and their SQL."""
+"""Queries of the document-conversion operators over the driver's tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+A row of a table stands for a file. Where an operator needs real files (listing, archives, binary formats), the query makes
+the test folder and reads it.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.functions.markup import CHAIN, flat_markdown, page_title
+from pagemill.functions.masking import hits, mask
+from pagemill.functions.sniff import TEXT_PATTERNS, kind_of_text
+from pagemill.operators.documents import changes, skim
+from pagemill.operators.numbering import numbered
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("body"))
+    docs = _table(spark, sf_dir, "documents").select(F.lit("document").alias("src"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    return pages.unionByName(docs).withColumn("kind", kind_of_text(F.col("body")))
+
+
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", flat_markdown(F.col("html")).alias("markdown"))
+
+
+def doc_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", mask(F.col("text")).alias("masked"))
+
+
+def pii_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _table(spark, sf_dir, "documents").select("doc_id", F.explode(hits(F.col("text"))).alias("h"))
+    return each.where("h.n > 0").select("doc_id", F.col("h.kind").alias("kind"), F.col("h.n").alias("n"))
+
+
+def _key(column: str):
+    return F.sha2(F.concat(F.lit("documents/"), F.col(column).cast("string")), 256)
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a made-up last run: some documents were not there, some had other texts, and two are gone since."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    now = docs.select(_key("doc_id").alias("doc_id"), F.sha2("text", 256).alias("sha256"))
+    then = docs.where("doc_id % 7 <> 0").select(_key("doc_id").alias("doc_id"), F.sha2(F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    gone = spark.range(2).select(F.sha2(F.concat(F.lit("gone/"), F.col("id").cast("string")), 256).alias("doc_id"), F.sha2(F.lit("x"), 256).alias("sha256"))
+    manifest = then.unionByName(gone).withColumn("options_hash", F.lit("mask=True")).withColumn("version", F.lit("1"))
+    return changes(now, manifest, "mask=True", "1")
+
+
+def transcript_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("**"), x["role"], F.lit("**: "), x["text"])), "\n\n").alias("markdown"))
+
+
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def kind_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both(spark, sf_dir).select("src", "id", "kind")
+
+
+def skim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skim(_both(spark, sf_dir).withColumn("length", F.octet_length("body")))
+
+
+def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    found = pages.select("page_id", F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".md")).alias("out_path"), mask(page_title(F.col("html"))).alias("title"), kind_of_text(F.col("html")).alias("kind"), F.char_length(flat_markdown(F.col("html"))).cast("long").alias("n_chars"))
+    return numbered(found, "page_id")
+
+
+def page_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as masked Markdown, with their place in the index."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", mask(page_title(F.col("html"))).alias("title"), mask(flat_markdown(F.col("html"))).alias("markdown"))
+    return numbered(pages.withColumn("n_chars", F.char_length("markdown").cast("long")), "page_id")
+
+
+def _folder() -> str:
+    """The test folder; a small one on this machine, for the operators that need files."""
+    from pagemill.plans.material import folder
+
+    if not hasattr(_folder, "root"):
+        _folder.root = tempfile.mkdtemp(prefix="pagemill-folder-")
+        for path, content in folder().items():
+            os.makedirs(os.path.dirname(os.path.join(_folder.root, path)), exist_ok=True)
+            with open(os.path.join(_folder.root, path), "wb") as f:
+                f.write(content)
+    return _folder.root
+
+
+def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.functions.parse import kinds
+    from pagemill.sources.folder import files
+
+    return kinds(files(spark, _folder())).select("path", "length", "kind")
+
+
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.sources.archives import expanded
+    from pagemill.sources.folder import files
+
+    return expanded(files(spark, _folder())).where("member is not null").select("path", "member", "length", "problem")
+
+
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.plans.convert import converted, documents
+
+    return converted(documents(spark, _folder())).select("path", "member", "kind", "title", "markdown", "n_chars", "error", "out_path")
+
+
+def folder_skim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.plans.convert import scan
+
+    return scan(spark, _folder())
+
+
+def selfcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.plans.selfcheck import checks
+
+    return spark.createDataFrame(checks(spark), "check string, passed boolean")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (page_markdown, doc_masked, pii_hits, changed_files, transcript_markdown, content_hash, kind_sniff, skim_summary, index_entries, page_bundle, file_listing, zip_members, parsed_files, folder_skim, selfcheck)
+}
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _replaced(sql: str, steps: list[tuple[str, str]]) -> str:
+    for pattern, to in steps:
+        sql = f"regexp_replace({sql}, {_quoted(pattern)}, {'chr(10)' if to == chr(10) else _quoted(to)}, 'g')"
+    return sql
+
+
+def _flat(column: str) -> str:
+    return f"trim({_replaced(column, list(CHAIN))})"
+
+
+def _title(column: str) -> str:
+    return f"trim({_replaced(f"regexp_extract({column}, '(?is)<title[^>]*>(.*?)</title>', 1)", [('&quot;', chr(34)), ('&amp;', '&')])})"
+
+
+# The rules that can match in the tables, as an engine without lookarounds writes them: guards take their neighbours, so they
+# are applied twice.
+_GUARD = (r"(^|[^0-9])[0-9]{16}($|[^0-9])", r"\1[ACCOUNT]\2")
+_MASKS = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]"),
+    (r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "[PHONE]"),
+    _GUARD,
+    _GUARD,
+    (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "[IP]"),
+]
+
+
+def _hits_sql() -> str:
+    email = _replaced("text", _MASKS[:1])
+    phone = _replaced("text", _MASKS[:2])
+    account = _replaced("text", _MASKS[:4])
+    n = lambda sql, pattern: f"CAST(len(regexp_extract_all({sql}, {_quoted(pattern)})) AS BIGINT)"
+    return f"""
+SELECT doc_id, kind, n FROM (
+  SELECT doc_id, 'email' AS kind, {n('text', _MASKS[0][0])} AS n FROM documents
+  UNION ALL SELECT doc_id, 'phone', {n(email, _MASKS[1][0])} FROM documents
+  UNION ALL SELECT doc_id, 'account', CAST((len({account}) - len(replace({account}, '[ACCOUNT]', ''))) // 9 AS BIGINT) FROM (SELECT doc_id, {phone} AS text FROM documents)
+  UNION ALL SELECT doc_id, 'ip', {n(account, _MASKS[4][0])} FROM documents)
+WHERE n > 0"""
+
+
+_KIND = "CASE WHEN body IS NULL OR body = '' THEN 'empty' " + " ".join(f"WHEN regexp_matches(lower(left(body, 4096)), {_quoted('(?s)' + p)}) THEN {_quoted(k)}" for k, p in TEXT_PATTERNS) + " ELSE 'text' END"
+_BOTH = "(SELECT 'page' AS src, page_id AS id, html AS body FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)"
+_HTML_KIND = _KIND.replace("body", "html")
+
+ORACLE: dict[str, str] = {
+    "page_markdown": f"SELECT page_id, {_flat('html')} AS markdown FROM pages",
+    "doc_masked": f"SELECT doc_id, {_replaced('text', _MASKS)} AS masked FROM documents",
+    "pii_hits": _hits_sql(),
+    "changed_files": """
+WITH n AS (SELECT sha256('documents/' || doc_id) AS doc_id, sha256(text) AS h FROM documents),
+o AS (SELECT sha256('documents/' || doc_id) AS doc_id, sha256(CASE WHEN doc_id % 10 = 1 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0
+      UNION ALL SELECT sha256('gone/' || i), sha256('x') FROM range(2) t(i))
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN n.h = o.h THEN 'unchanged' ELSE 'changed' END AS state
+FROM n FULL OUTER JOIN o ON n.doc_id = o.doc_id""",
+    "transcript_markdown": "SELECT conv_id, string_agg('**' || role || '**: ' || text, chr(10) || chr(10) ORDER BY turn, role, text) AS markdown FROM conversations GROUP BY conv_id",
+    "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "kind_sniff": f"SELECT src, id, {_KIND} AS kind FROM {_BOTH}",
+    "skim_summary": f"SELECT kind, count(*) AS n_files, CAST(sum(strlen(body)) AS BIGINT) AS n_bytes FROM (SELECT {_KIND} AS kind, body FROM {_BOTH}) GROUP BY kind",
+    "index_entries": f"SELECT page_id, 'pages/' || page_id || '.md' AS out_path, {_replaced(_title('html'), _MASKS)} AS title, {_HTML_KIND} AS kind, len({_flat('html')}) AS n_chars, row_number() OVER (ORDER BY page_id) AS ord FROM pages",
+    "page_bundle": f"SELECT page_id, {_replaced(_title('html'), _MASKS)} AS title, {_replaced(_flat('html'), _MASKS)} AS markdown, len({_replaced(_flat('html'), _MASKS)}) AS n_chars, row_number() OVER (ORDER BY page_id) AS ord FROM pages",
+}

@@ -1,0 +1,4 @@
+"""Nothing here: a run over a folder is a batch, and repeated runs are a join with the manifest (``operators.documents``).
+
+Spark's file stream never reads a changed file again, so it cannot express "make anew what changed".
+"""
