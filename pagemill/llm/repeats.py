@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import materialize
+from pagemill.llm.common import discard, materialize
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -50,11 +50,11 @@ def anchor_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return places[lo], lo, np.r_[lo[1:], len(places)] - 1
 
 
-ANCHORED = "uid long, doc_id long, h array<long>, p array<int>, lo array<int>, hi array<int>"
+ANCHORED = "uid long, tag long, h array<long>, p array<int>, lo array<int>, hi array<int>"
 
 
 def anchored(rows: DataFrame, find: Callable[[pa.Array], Iterator[tuple]]) -> DataFrame:
-    """``find`` gives (row, hashes, places, first starts, last starts) for a batch of texts."""
+    """Anchors of each text, with a hash of the whole text as tag. ``find`` gives (row, hashes, places, first starts, last starts) for a batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,14 +68,26 @@ def anchored(rows: DataFrame, find: Callable[[pa.Array], Iterator[tuple]]) -> Da
                 offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in cols[0]])], pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c).astype(kind))) for c, kind in zip(cols, (np.int64, np.int32, np.int32, np.int32), strict=True)]
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], ["uid", "doc_id", "h", "p", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], ["uid", "tag", "h", "p", "lo", "hi"])
 
-    return rows.select("uid", "doc_id", "text").mapInArrow(run, ANCHORED)
+    return rows.select("uid", F.xxhash64("sha").alias("tag"), "text").mapInArrow(run, ANCHORED)
 
 
 def repeated_anchors(found: DataFrame, firsts: DataFrame, across: bool, label: str) -> DataFrame:
-    """(uid, spots: array of (h, p, lo, hi, m)) of anchors whose gram occurs again; ``across``: under another doc_id."""
-    one = found.join(firsts.select(F.col("first").alias("uid")), "uid", "left_semi")
-    flat = materialize(one.select("uid", "doc_id", F.explode(F.arrays_zip("h", "p", "lo", "hi")).alias("x")).select("uid", "doc_id", "x.h", "x.p", "x.lo", "x.hi"), f"{label}-anchors")
-    counts = flat.groupBy("h").agg(F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b" if across else "m > 1").select("h", "m")
-    return flat.join(counts, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "p", "lo", "hi", "m")).alias("spots"))
+    """(uid, spots: array of (h, p, lo, hi, m)), for each class's first row, of anchors whose gram occurs again (m times in all).
+
+    ``across``: in another text. Then copies need not be left out before grams are counted, which saves a shuffle of all anchors.
+    """
+    first = firsts.select(F.col("first").alias("uid"))
+    one = found if across else found.join(first, "uid", "left_semi")
+    flat = materialize(one.select("uid", "tag", F.explode(F.arrays_zip("h", "p", "lo", "hi")).alias("x")).select("uid", "tag", "x.h", "x.lo", (F.col("x.p") - F.col("x.lo")).alias("off"), (F.col("x.hi") - F.col("x.lo")).alias("span")), f"{label}-anchors")
+    counts = flat.groupBy("h").agg(F.count("*").alias("m"), F.min("tag").alias("a"), F.max("tag").alias("b")).where("a < b" if across else "m > 1").select("h", "m")
+    # Two small numbers and a start travel as one.
+    packed = flat.select("uid", "h", (F.col("lo").cast("long") * (1 << 24) + F.col("off") * (1 << 12) + F.col("span")).alias("at"))
+    rest = F.col("at").bitwiseAND(F.lit((1 << 24) - 1))
+    joined = packed.join(counts, "h").select("uid", "h", "m", F.shiftright("at", 24).cast("int").alias("lo"), rest.alias("r"))
+    spot = F.struct("h", (F.col("lo") + F.shiftright("r", 12)).cast("int").alias("p"), "lo", (F.col("lo") + F.col("r").bitwiseAND(F.lit((1 << 12) - 1))).cast("int").alias("hi"), "m")
+    spots = joined.groupBy("uid").agg(F.collect_list(spot).alias("spots"))
+    out = materialize(spots.join(first, "uid", "left_semi") if across else spots, f"{label}-spots")
+    discard(flat)
+    return out

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import arrow_rows, materialize, mix, shuffle_partitions, text_slices
+from pagemill.llm.common import arrow_rows, inflated, materialize, mix, shuffle_partitions, squeezed, text_slices
 from pagemill.llm.repeats import anchor_runs, anchored, classes, keyed, least_in_window, repeated_anchors
 
 LENGTH = 400
@@ -198,16 +198,15 @@ CONTEXTS = "h long, salt int, shares int, uid long, p int, lo int, hi int, body
 def _contexts(spots: DataFrame, rows: DataFrame, length: int, group: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uid, text, spot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = text.as_buffer()
+            for uid, data, spot in zip(batch.column(0).to_pylist(), inflated(batch.column(1)), batch.column(2), strict=True):
                 s = spot.values
                 h, p, lo, hi, m = (s.field(k).to_numpy(zero_copy_only=False) for k in range(5))
                 shares = -(-m // group)
                 salt = (mix((np.full(len(h), uid, dtype=np.int64).view(np.uint64)) + lo.astype(np.uint64)) % shares.astype(np.uint64)).astype(np.int32)
                 body = [data[int(a) : int(b) + length] for a, b in zip(lo, hi, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(shares.astype(np.int32)), pa.array(np.full(len(h), uid)), pa.array(p), pa.array(lo), pa.array(hi), pa.array([bytes(b) for b in body], pa.binary())], ["h", "salt", "shares", "uid", "p", "lo", "hi", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(shares.astype(np.int32)), pa.array(np.full(len(h), uid)), pa.array(p), pa.array(lo), pa.array(hi), pa.array(body, pa.binary())], ["h", "salt", "shares", "uid", "p", "lo", "hi", "body"])
 
-    return rows.select("uid", "text").join(spots, "uid").select("uid", "text", "spots").mapInArrow(run, CONTEXTS)
+    return squeezed(rows.select("uid", "text")).join(spots, "uid").select("uid", "text", "spots").mapInArrow(run, CONTEXTS)
 
 
 FOUND = "uid long, a int, b int, bucket int, digests binary, uids binary, starts binary, own binary"
@@ -343,8 +342,8 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for t, whole, runs in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                data = np.frombuffer(t.as_buffer() or b"", dtype=np.uint8)
+            for t, whole, runs in zip(inflated(batch.column(1)), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                data = np.frombuffer(t, dtype=np.uint8)
                 s = runs.values
                 a, b = ((s.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if s is not None and len(s) else (np.zeros(0, np.int32),) * 2)
                 gone = removed(data, bool(whole), (a, b), length)
@@ -366,7 +365,7 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[: 4 + with_text], *batch.columns[4:]], names)
 
     arrow_rows(docs.sparkSession, 300)
-    joined = rows.join(found, "uid", "left").select("doc_id", "text", "whole", "runs", *carry)
+    joined = squeezed(rows.select("uid", "doc_id", "text", *carry)).join(found, "uid", "left").select("doc_id", "text", "whole", "runs", *carry)
     fields = [T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()))]
     fields += [T.StructField("kept", T.StringType())] * with_text + joined.schema.fields[4:]
     names = [f.name for f in fields]
