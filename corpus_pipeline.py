@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: language ID, near duplicates, repeated strings, mixing, packing.
 
 Each stage takes all that the one before it kept and returns documents (doc_id, text, lang, source, n_chars); the last one
-returns the pieces of the packed sequences. Texts are joined to decisions by id, compressed; nothing is collected.
+returns the pieces of the packed sequences. Texts are joined to decisions by id; nothing is collected.
 
 Defined results: rows without id pass the near-duplicate stage as they are; a text that is wholly repeated leaves no
 document; a source without words has none to mix; empty tables pass through all stages as empty tables.
@@ -50,9 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.coalesce("doc_id", F.xxhash64("text")).alias("key")
     docs = docs.select(*COLUMNS, key)
     times = mixing.mix(docs, doc_id="key").groupBy(F.col("doc_id").alias("key")).agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))).cast("int").alias("times")).where("times > 0")
-    arrow_rows(spark, 400)
-    taken = squeezed(docs).join(times, "key").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return unsqueezed(taken.select(*COLUMNS))
+    taken = docs.join(times, "key").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return taken.select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

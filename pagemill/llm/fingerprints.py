@@ -94,6 +94,8 @@ def ranged(docs: DataFrame, parts: int) -> tuple[DataFrame, int]:
     if before:
         items = [x for head, p in before.items() for x in (F.lit(int(head)), F.lit(int(p)))]
         lent = F.element_at(F.create_map(*items), F.col("doc_id"))
+    if len(heads) > 1 and heads[-1][1] is None:  # a last part of rows without id only
+        lent = F.when(F.col("doc_id").isNull(), F.lit(heads[-2][0])).otherwise(lent)
     both = F.array_compact(F.array(F.struct("part", F.lit(False).alias("borrowed")), F.when(lent.isNotNull(), F.struct(lent.alias("part"), F.lit(True).alias("borrowed")))))
     return placed.withColumn("p", F.explode(both)).select("p.part", "doc_id", "text", "p.borrowed"), len(heads)
 

@@ -191,6 +191,8 @@ def possible(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray) ->
 
 def _neighbours(t, d, n, p, u) -> np.ndarray:
     """Pairs under a shingle: neighbours in two orders, and each document with the one whose shingles are the most usual."""
+    if not len(t):
+        return np.zeros((0, 2), dtype=np.int64)
     found = []
 
     def pair(a: np.ndarray, b: np.ndarray) -> None:

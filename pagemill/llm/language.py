@@ -28,7 +28,7 @@ from pagemill.llm.common import arrow_rows, text_slices
 
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3, 4)
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 400
 UNKNOWN = "und"
 SEED = 17
 _LETTER = regex.compile(r"\p{L}")
