@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, fingerprints, jaccard_join, language, mixing, packing, substring_dedup, suffix_dedup, token_counts, topk
+from pagemill.llm import chat, fingerprints, jaccard_join, language, mixing, packing, sql, substring_dedup, suffix_dedup, token_counts, topk
 from pagemill.llm.common import table
 
 
@@ -90,4 +90,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op3_topk": topk.ORACLE, "op7_chat_formatting": OP7_SQL, "op8_mixing": mixing.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_jaccard_join": sql.JACCARD_JOIN,
+    "op3_topk": topk.ORACLE,
+    "op4_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op5_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op7_chat_formatting": OP7_SQL,
+    "op8_mixing": mixing.ORACLE,
+}
