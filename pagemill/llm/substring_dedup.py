@@ -10,9 +10,10 @@ document with a smaller id; windows are judged on the input. The steps:
 3. In memory-sized batches of parts, the subtrees of the suffixes are built top-down, one word a level: a node's suffixes
    are split by their next word, and branches with a single suffix are leaves and go. Equal contexts are one path. What
    reaches depth ``length`` is a deep internal node, a repeat; its smallest document id decides.
-4. Where a part would not fit in memory (more than ``GROUP`` contexts of one gram), prefixes are lengthened to the full
-   depth, so that each part is one deep node: its smallest id is a combining minimum over 128-bit digests of its words,
-   and its suffixes meet that minimum in a join which Spark may split.
+4. Where a part would not fit in memory (more than ``GROUP`` contexts of one gram), prefixes are lengthened: first to
+   stretches of contexts and to whole contexts, of which all but the first are settled, then, for what is left, to the full
+   depth, so that each part is one node: its smallest id is a combining minimum over 128-bit digests of its words, and its members meet that minimum in
+   a join which Spark may split.
 
 Words are compared by 64-bit hashes. Defined results: a null text has no words; fewer words than ``length`` are all kept; rows
 of equal id are not before each other; a null id comes before all others; an empty table gives no rows.
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_rows, grams, materialize, mix, text_slices, word_hashes, word_spans
+from pagemill.llm.common import _Powers, arrow_rows, discard, grams, inflated, materialize, mix, squeezed, text_slices, word_hashes, word_spans
 from pagemill.llm.repeats import anchor_runs, anchored, classes, keyed, least_in_window, repeated_anchors
 
 LENGTH = 13
 GRAM = 5
 #: Contexts of a gram that are taken into memory together.
 GROUP = 4096
+#: Crowded contexts in a stretch, on average.
+STRETCH = 4
 #: Bytes of contexts that are held at once.
 BATCH = 4 << 20
 LEAST = -(1 << 63)
@@ -56,35 +59,52 @@ def find_anchors(column: pa.Array, length: int) -> Iterator[tuple]:
                 yield first + k, hashes[p].view(np.int64), p - a, lo, hi
 
 
-CONTEXTS = "h long, uid long, doc_id long, lo int, hi int, body binary, starts array<int>, w1 array<long>, w2 array<long>"
-_CONTEXTS = pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("body", pa.binary()), ("starts", pa.list_(pa.int32())), ("w1", pa.list_(pa.int64())), ("w2", pa.list_(pa.int64()))])
+CONTEXTS = "h long, uid long, doc_id long, lo int, hi int, body binary, crowded array<struct<lo:int,hi:int,d1:bigint,d2:bigint,inner:array<struct<lo:int,hi:int,d1:bigint,d2:bigint,w1:array<bigint>,w2:array<bigint>>>>>"
+_PART = [("lo", pa.int32()), ("hi", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]
+_CROWDED = pa.struct([*_PART, ("inner", pa.list_(pa.struct([*_PART, ("w1", pa.list_(pa.int64())), ("w2", pa.list_(pa.int64()))])))])
+_CONTEXTS = pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("body", pa.binary()), ("crowded", pa.list_(_CROWDED))])
+
+
+def digest(words: np.ndarray) -> int:
+    steps = _Powers.upto(len(words) + 1)[0][: len(words)]
+    return int(mix((words * steps).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(words))).view(np.int64)[0])
 
 
 def _contexts(spots: DataFrame, rows: DataFrame, length: int, group: int) -> DataFrame:
-    """A row for each context of a gram, its words in ``body``; of a text's windows under crowded grams, a row of starts and digests."""
+    """A row for each context of a gram, its words in ``body``; of a text's contexts under crowded grams, one row of their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for uid, doc, text, spot in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                raw = text.as_buffer().to_pybytes()
+            out: list[list] = [[] for _ in range(7)]
+            for uid, doc, raw, spot in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), inflated(batch.column(2)), batch.column(3), strict=True):
                 data = np.frombuffer(raw, dtype=np.uint8)
                 begin, end, _ = word_spans(data, np.array([0, len(data)]))
                 s = spot.values
                 h, _, lo, hi, m = (s.field(k).to_numpy(zero_copy_only=False) for k in range(5))
                 few = m <= group
                 for k in np.flatnonzero(few):
-                    for c, v in zip(out, (int(h[k]), uid, doc, int(lo[k]), int(hi[k]), raw[begin[lo[k]] : end[hi[k] + length - 1]], None, None, None), strict=True):
+                    for c, v in zip(out, (int(h[k]), uid, doc, int(lo[k]), int(hi[k]), raw[begin[lo[k]] : end[hi[k] + length - 1]], None), strict=True):
                         c.append(v)
                 if not few.all():
                     words = word_hashes(data, begin, end, lower=False)
-                    at = np.concatenate([np.arange(lo[k], hi[k] + 1) for k in np.flatnonzero(~few)])
-                    one, two = grams(words, length)[at], grams(mix(words + np.uint64(1)), length)[at]
-                    for c, v in zip(out, (None, uid, doc, None, None, None, at.astype(np.int32), one.view(np.int64), two.view(np.int64)), strict=True):
+                    again = mix(words + np.uint64(1))
+                    one, two = grams(words, length), grams(again, length)
+                    part = lambda x, y: {"lo": x, "hi": y, "d1": digest(words[x : y + length]), "d2": digest(again[x : y + length])}  # noqa: B023, E731
+                    inner = [part(x, y) | {"w1": one[x : y + 1].view(np.int64), "w2": two[x : y + 1].view(np.int64)} for x, y in zip(lo[~few].tolist(), hi[~few].tolist(), strict=True)]
+                    inner.sort(key=lambda x: x["lo"])
+                    stretches: list[list] = []
+                    for x in inner:
+                        # Neighbours make a stretch; its ends depend on content, so equal passages are cut alike.
+                        if stretches and stretches[-1][-1]["hi"] + 1 == x["lo"] and x["d1"] % STRETCH:
+                            stretches[-1].append(x)
+                        else:
+                            stretches.append([x])
+                    every = [part(x[0]["lo"], x[-1]["hi"]) | {"inner": x} for x in stretches]
+                    for c, v in zip(out, (None, uid, doc, None, None, None, every), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _CONTEXTS, strict=True)], schema=_CONTEXTS)
 
-    return rows.select("uid", "doc_id", "text").join(spots, "uid").select("uid", "doc_id", "text", "spots").mapInArrow(run, CONTEXTS)
+    return squeezed(rows.select("uid", "doc_id", "text")).join(spots, "uid").select("uid", "doc_id", "text", "spots").mapInArrow(run, CONTEXTS)
 
 
 def seen_before(part: np.ndarray, docs: np.ndarray, bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,10 +174,23 @@ def _judged(contexts: DataFrame, length: int) -> DataFrame:
     return plain.repartition("h").sortWithinPartitions("h").mapInArrow(run, "uid long, a int, b int")
 
 
+def _settled(each: DataFrame, inner: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Of parts (uid, doc_id, lo, hi, d1, d2) with equal words all but those of the smallest id are settled; the others' inner."""
+    least = each.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
+    judged = materialize(each.join(least, ["d1", "d2"]).select("uid", "doc_id", "lo", "hi", "least", F.when(F.col("doc_id") == F.col("least"), F.expr(inner)).alias("inner")), label)
+    return judged.where("doc_id > least").select("uid", F.col("lo").alias("a"), F.col("hi").alias("b")), judged.where("doc_id = least").select("uid", "doc_id", "lo", "inner")
+
+
 def _crowded(contexts: DataFrame) -> DataFrame:
-    each = contexts.where("h is null").select("uid", "doc_id", F.explode(F.arrays_zip("starts", "w1", "w2")).alias("x")).select("uid", "doc_id", F.col("x.starts").alias("a"), "x.w1", "x.w2")
-    least = each.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
-    return each.join(least, ["w1", "w2"]).where("doc_id > least").select("uid", "a", F.col("a").alias("b"))
+    """Stretches of contexts first, then contexts of those not settled, then, of what is left, window by window."""
+    stretches = contexts.where("h is null").select("uid", "doc_id", F.explode("crowded").alias("x")).select("uid", "doc_id", "x.*")
+    settled, rest = _settled(stretches, "inner", "substring-stretches")
+    parts = rest.select("uid", "doc_id", F.explode("inner").alias("x")).select("uid", "doc_id", "x.*")
+    more, rest = _settled(parts, "arrays_zip(w1, w2)", "substring-crowded")
+    windows = rest.select("uid", "doc_id", "lo", F.posexplode("inner").alias("k", "x")).select("uid", "doc_id", (F.col("lo") + F.col("k")).alias("a"), "x.w1", "x.w2")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
+    last = windows.join(first, ["w1", "w2"]).where("doc_id > first").select("uid", "a", F.col("a").alias("b"))
+    return settled.unionByName(more).unionByName(last)
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -169,7 +202,9 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     kinds = materialize(classes(ids), "substring-classes")
     spots = repeated_anchors(anchored(rows, lambda column: find_anchors(column, length)), kinds, across=True, label="substring")
     contexts = materialize(_contexts(spots, rows, length, group), "substring-contexts")
-    runs = _judged(contexts, length).unionByName(_crowded(contexts))
+    discard(spots)
+    runs = materialize(_judged(contexts, length).unionByName(_crowded(contexts)), "substring-runs")
+    discard(contexts)
     later = ids.join(kinds.where("copies > 1").select("sha", "first_doc"), "sha").where("doc_id > first_doc")
     whole = later.select("uid", F.lit(True).alias("whole"), F.lit(None).cast("struct<a:int,b:int>").alias("run"))
     every = runs.select("uid", F.lit(False).alias("whole"), F.struct("a", "b").alias("run")).unionByName(whole)
@@ -178,8 +213,8 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
-            for t, whole, spans in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                words = t.as_buffer().to_pybytes().split()
+            for t, whole, spans in zip(inflated(batch.column(1)), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                words = t.split()
                 kept = words
                 if whole:
                     kept = words if len(words) < length else []
@@ -194,5 +229,5 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     arrow_rows(spark, 300)
-    joined = rows.select("uid", "doc_id", "text").join(found, "uid", "left").select(F.nullif("doc_id", F.lit(LEAST)).alias("doc_id"), "text", "whole", "runs")
+    joined = squeezed(rows.select("uid", "doc_id", "text")).join(found, "uid", "left").select(F.nullif("doc_id", F.lit(LEAST)).alias("doc_id"), "text", "whole", "runs")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
