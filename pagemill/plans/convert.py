@@ -65,14 +65,18 @@ def convert(spark: SparkSession, root: str, output: str | None = None, masking:
     found = spark.read.parquet(stage + ".states")
     todo = found.where("state in ('new', 'changed')").select("doc_id")
     fresh = converted(now.join(todo, "doc_id", "left_semi"), masking)
-    # Two documents may come to one place (masked names, replaced characters): the later ones get their id in the name.
-    clash = fresh.groupBy(F.lower("out_path").alias("low")).agg(F.min("doc_id").alias("first"))
-    fresh = fresh.join(clash, F.lower("out_path") == F.col("low")).withColumn("out_path", F.when(F.col("doc_id") == F.col("first"), F.col("out_path")).otherwise(F.concat(F.expr("left(out_path, length(out_path) - 3)"), F.lit("-"), F.substring("doc_id", 1, 8), F.lit(".md")))).drop("low", "first")
+    kept = manifest.join(found.where("state = 'unchanged'").select("doc_id"), "doc_id", "left_semi")
+    # Two documents may come to one place (masked names, replaced characters): only one that no kept document holds it
+    # against, the first by id, gets the plain name; the others' ids tell them apart.
+    low = F.lower("out_path").alias("low")
+    taken = fresh.groupBy(low).agg(F.min("doc_id").alias("first")).join(kept.select(low, F.lit(True).alias("held")).distinct(), "low", "left")
+    plain = (F.col("doc_id") == F.col("first")) & F.col("held").isNull()
+    told = F.concat(F.expr("left(out_path, length(out_path) - 3)"), F.lit("-"), F.substring("doc_id", 1, 8), F.lit(".md"))
+    fresh = fresh.join(taken, F.lower("out_path") == F.col("low")).withColumn("out_path", F.when(plain, F.col("out_path")).otherwise(told)).drop("low", "first", "held")
     made = fresh.withColumn("options_hash", F.lit(options)).withColumn("version", F.lit(VERSION))
     made.write.mode("overwrite").parquet(stage + ".docs")
     made = spark.read.parquet(stage + ".docs")
     write_bundle(made, target).write.format("noop").mode("append").save()
-    kept = manifest.join(found.where("state = 'unchanged'").select("doc_id"), "doc_id", "left_semi")
     columns = ["doc_id", "sha256", "options_hash", "version", "out_path", "kind", "title", "n_chars", "error"]
     every = kept.select(*columns).unionByName(made.select(*columns))
     every.write.mode("overwrite").parquet(stage)

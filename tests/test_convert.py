@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from pagemill.operators.documents import changes
 from pagemill.operators.numbering import numbered
+from pagemill.plans.convert import convert
 from pagemill.plans.selfcheck import checks
 from pagemill.queries import ORACLE, QUERIES
 from pagemill.sources.folder import files
@@ -21,6 +22,19 @@ def test_selfcheck(spark):
     assert [name for name, passed in checks(spark) if not passed] == []
 
 
+def test_masked_names_do_not_collide(spark, tmp_path):
+    for name, text in (("메모 010-1111-2222.txt", "one"), ("메모 010-3333-4444.txt", "two")):
+        (tmp_path / name).write_text(text)
+    target = tmp_path / "out"
+    read = lambda: sorted(p.read_text().strip() for p in target.glob("*.md") if p.name != "INDEX.md")
+    assert convert(spark, str(tmp_path), str(target)) == {"new": 2} and read() == ["one", "two"]
+    assert not any("1111" in p.name for p in target.iterdir())
+    for name, text in (("메모 010-1111-2222.txt", "three"), ("메모 010-3333-4444.txt", "four")):
+        (tmp_path / name).write_text(text)
+        assert convert(spark, str(tmp_path), str(target)) == {"changed": 1, "unchanged": 1}
+    assert read() == ["four", "three"]
+
+
 def test_listing_sees_what_a_folder_has(spark, tmp_path):
     os.makedirs(tmp_path / "_변환결과")
     os.makedirs(tmp_path / "_hidden")
