@@ -86,7 +86,6 @@ class PieceCounter:
         order = np.argsort(keys)
         self.keys, self.made = keys[order], made[order]
         self.rank = rank.astype(np.int64)
-        # A dense index by the left symbol's first key narrows nothing here: the table is small enough for a binary search.
         safe = np.ones(len(pieces), dtype=bool)
         ranks = self.rank[self.made]
         for side in (self.keys >> 32, self.keys & 0xFFFFFFFF):
@@ -138,7 +137,7 @@ class PieceCounter:
             sym[at] = made[at]
             keep = np.ones(len(sym), dtype=bool)
             keep[at + 1] = False
-            moved = at - np.searchsorted(at, at, side="left")
+            moved = at - np.arange(len(at))
             sym, seq, made, ranks = sym[keep], seq[keep], made[keep], ranks[keep]
             touched = np.unique(np.r_[moved, np.maximum(moved - 1, 0)])
             nxt = np.minimum(touched + 1, len(sym) - 1)

@@ -70,7 +70,7 @@ class Slice:
             self.by[d] = np.array([r.id for r in own], dtype=np.int64), np.floor(SCALE * np.array([r.vector for r in own], dtype=np.float64))
 
     def blocks(self, batch: pa.RecordBatch) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
-        """(vector length, which of its queries, candidates' ids, scores: queries x candidates), own rows left out as None."""
+        """(vector length, which of its queries, candidates' ids, scores: queries x candidates)."""
         ids = batch.column(0).to_numpy()
         for d, (rows, components) in matrix(batch.column(1)).items():
             if d not in self.by:
@@ -108,7 +108,6 @@ def _search_slice(spark, candidates: DataFrame, queries: DataFrame, k: int) -> D
     wide = max((d * max(1, int(np.abs(q).max(initial=0))) for d, (_, q) in part.by.items()), default=1) * max(1, int(most))
     bits = wide.bit_length() + 1
     state = {d: [[-(1 << bits), 1 << (bits + 1), k] for _ in ids] for d, (ids, _) in part.by.items()}  # low end, width, how many from the top of the bin
-    low = {d: [-(1 << bits)] * len(v) for d, v in state.items()}
     exact_type = np.int64 if bits < 62 else object
     empty = -(1 << 62) if exact_type is np.int64 else -(1 << (bits + 2))
     width = bits + 1
@@ -147,10 +146,8 @@ def _refine(spark, candidates: DataFrame, part: Slice, state: dict, width: int,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, state = shared.value
-        tops = {d: [np.zeros((0, 0), dtype=kind)] * 0 for d in state}
         keep = {d: np.full((len(v), max((s[2] for s in v), default=1)), empty, dtype=kind) for d, v in state.items()}
         bounds = {d: (np.array([s[0] for s in v], dtype=kind), np.array([s[0] + s[1] for s in v], dtype=kind)) for d, v in state.items()}
-        del tops
         for batch in batches:
             for d, which, ids, found in part.blocks(batch):
                 lo, hi = (b[which] for b in bounds[d])
