@@ -184,6 +184,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """A 64-bit hash of every word's bytes, A-Z as a-z if ``lower``."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    if len(data) > 2 * SLICE_BYTES and len(starts) > 1:
+        # A long text in stretches of whole words; a word's hash does not depend on where it stands.
+        out, i = [], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
+            a, b = starts[i], ends[j - 1]
+            out.append(word_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a, lower))
+            i = j
+        return np.concatenate(out)
     up, down = _Powers.upto(len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0

@@ -406,3 +406,14 @@ def test_query_equals_its_sql(spark, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, db.sql(f"SELECT {', '.join(columns)} FROM want").fetchall()))
+
+
+def test_word_hashes_do_not_depend_on_slices(monkeypatch):
+    from pagemill.llm import common
+
+    text = (words(3000, np.random.default_rng(8)) + " " + "w" * 5000 + " end").encode()
+    data = np.frombuffer(text, dtype=np.uint8)
+    starts, ends, _ = common.word_spans(data, np.array([0, len(data)]))
+    whole = common.word_hashes(data, starts, ends, True)
+    monkeypatch.setattr(common, "SLICE_BYTES", 512)
+    assert (common.word_hashes(data, starts, ends, True) == whole).all()
