@@ -42,6 +42,8 @@ from pagemill.llm.repeats import anchor_runs, anchored, classes, keyed, least_in
 
 LENGTH = 400
 GRAM = 32
+#: Window starts of a very long text that are looked at together.
+LONG = 4 << 20
 #: Contexts of a gram that are ordered together.
 GROUP = 512
 #: Bytes of contexts that are held at once.
@@ -102,33 +104,48 @@ def recurring(doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return repeats, unseen | ~repeats
 
 
+def _anchors(doc: np.ndarray, hashes: np.ndarray, places: np.ndarray, length: int) -> tuple:
+    """Gram hashes, places, first and last window starts of a document's anchors, and which windows recur in it, if it was looked at."""
+    p, lo, hi = anchor_runs(places)
+    settled = None
+    if len(p) > 64 and len(p) > len(doc) // 40:
+        settled, fresh = recurring(doc, length)
+        at = np.repeat(np.arange(len(p)), hi - lo + 1)
+        at[~fresh] = -1
+        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        end = np.r_[cut[1:], len(at)] - 1
+        keep = at[cut] >= 0
+        p, lo, hi = p[at[cut[keep]]], cut[keep], end[keep]
+    return hashes[p].view(np.int64), p, lo, hi, settled
+
+
 def find_anchors(column: pa.Array, length: int, with_settled: bool = False) -> Iterator[tuple]:
-    """(row, gram hashes, places, first and last window starts) for each text; or (row, first, last) of settled windows."""
+    """(row, gram hashes, places, first and last window starts) for each text; or (row, first, last) of settled windows.
+
+    A text beyond ``LONG`` bytes is taken in blocks of so many window starts; an anchor cut in two is two anchors.
+    """
     for first, data, offs in text_slices(column):
         if len(data) < length:
             continue
-        hashes = gram_hashes(data)
-        places = least_in_window(hashes, length - GRAM + 1)
-        for k in range(len(offs) - 1):
-            a, b = int(offs[k]), int(offs[k + 1])
-            if b - a < length:
-                continue
-            p, lo, hi = anchor_runs(places[a : b - length + 1])
-            settled = None
-            if len(p) > 64 and len(p) > (b - a) // 40:
-                settled, fresh = recurring(data[a:b], length)
-                at = np.repeat(np.arange(len(p)), hi - lo + 1)
-                at[~fresh] = -1
-                cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                end = np.r_[cut[1:], len(at)] - 1
-                keep = at[cut] >= 0
-                p, lo, hi = p[at[cut[keep]]], cut[keep], end[keep]
+        if len(offs) == 2 and len(data) > 2 * LONG:
+            blocks = [(0, s, data[s : s + LONG + length - 1]) for s in range(0, len(data) - length + 1, LONG)]
+            found = ((k, s, *_anchors(block, h := gram_hashes(block), least_in_window(h, length - GRAM + 1), length)) for k, s, block in blocks)
+        else:
+            hashes = gram_hashes(data)
+            places = least_in_window(hashes, length - GRAM + 1)
+            found = ((k, 0, *_anchors(data[a:b], hashes[a : b - GRAM + 1], places[a : b - length + 1] - a, length)) for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)) if b - a >= length)
+        parts: list = []
+        for k, shift, h, p, lo, hi, settled in found:
             if with_settled:
                 if settled is not None:
                     x, y = _runs(settled)
-                    yield first + k, x, y
+                    yield first + k, x + shift, y + shift
+            elif len(offs) == 2:
+                parts.append((h, p + shift, lo + shift, hi + shift))
             else:
-                yield first + k, hashes[p].view(np.int64), p - a, lo, hi
+                yield first + k, h, p, lo, hi
+        if parts:
+            yield first, *(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:

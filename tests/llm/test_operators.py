@@ -417,3 +417,15 @@ def test_word_hashes_do_not_depend_on_slices(monkeypatch):
     whole = common.word_hashes(data, starts, ends, True)
     monkeypatch.setattr(common, "SLICE_BYTES", 512)
     assert (common.word_hashes(data, starts, ends, True) == whole).all()
+
+
+def test_suffix_dedup_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LONG", 700)
+    rows = [(k, t) for k, t in corpus() if t and len(t) > 300]
+    found = list(suffix_dedup.find_anchors(__import__("pyarrow").array([rows[0][1] * 5]), 400))
+    assert len(found) == 1 and len(found[0]) == 5
+    covered = sorted((lo, hi) for lo, hi in zip(found[0][3], found[0][4], strict=True))
+    data = (rows[0][1] * 5).encode()
+    at = {s for lo, hi in covered for s in range(lo, hi + 1)}
+    settled = {s for _, x, y in suffix_dedup.find_anchors(__import__("pyarrow").array([rows[0][1] * 5]), 400, True) for a, b in zip(x, y, strict=True) for s in range(a, b + 1)}
+    assert at | settled == set(range(len(data) - 399))
