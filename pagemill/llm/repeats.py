@@ -82,6 +82,8 @@ def repeated_anchors(found: DataFrame, firsts: DataFrame, across: bool, label: s
     one = found if across else found.join(first, "uid", "left_semi")
     flat = materialize(one.select("uid", "tag", F.explode(F.arrays_zip("h", "p", "lo", "hi")).alias("x")).select("uid", "tag", "x.h", "x.lo", (F.col("x.p") - F.col("x.lo")).alias("off"), (F.col("x.hi") - F.col("x.lo")).alias("span")), f"{label}-anchors")
     counts = flat.groupBy("h").agg(F.count("*").alias("m"), F.min("tag").alias("a"), F.max("tag").alias("b")).where("a < b" if across else "m > 1").select("h", "m")
+    # Written first: a join right above an aggregate cannot be split where one gram has very many rows.
+    counts = materialize(counts, f"{label}-grams")
     # Two small numbers and a start travel as one.
     packed = flat.select("uid", "h", (F.col("lo").cast("long") * (1 << 24) + F.col("off") * (1 << 12) + F.col("span")).alias("at"))
     rest = F.col("at").bitwiseAND(F.lit((1 << 24) - 1))
@@ -89,5 +91,5 @@ def repeated_anchors(found: DataFrame, firsts: DataFrame, across: bool, label: s
     spot = F.struct("h", (F.col("lo") + F.shiftright("r", 12)).cast("int").alias("p"), "lo", (F.col("lo") + F.col("r").bitwiseAND(F.lit((1 << 12) - 1))).cast("int").alias("hi"), "m")
     spots = joined.groupBy("uid").agg(F.collect_list(spot).alias("spots"))
     out = materialize(spots.join(first, "uid", "left_semi") if across else spots, f"{label}-spots")
-    discard(flat)
+    discard(flat, counts)
     return out
