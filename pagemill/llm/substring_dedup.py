@@ -176,7 +176,8 @@ def _judged(contexts: DataFrame, length: int) -> DataFrame:
 
 def _settled(each: DataFrame, inner: str, label: str) -> tuple[DataFrame, DataFrame]:
     """Of parts (uid, doc_id, lo, hi, d1, d2) with equal words all but those of the smallest id are settled; the others' inner."""
-    least = each.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
+    # Minima are written before they are joined: right above an aggregate a join cannot be split.
+    least = materialize(each.groupBy("d1", "d2").agg(F.min("doc_id").alias("least")), f"{label}-least")
     judged = materialize(each.join(least, ["d1", "d2"]).select("uid", "doc_id", "lo", "hi", "least", F.when(F.col("doc_id") == F.col("least"), F.expr(inner)).alias("inner")), label)
     return judged.where("doc_id > least").select("uid", F.col("lo").alias("a"), F.col("hi").alias("b")), judged.where("doc_id = least").select("uid", "doc_id", "lo", "inner")
 
@@ -189,6 +190,7 @@ def _crowded(contexts: DataFrame) -> DataFrame:
     more, rest = _settled(parts, "arrays_zip(w1, w2)", "substring-crowded")
     windows = rest.select("uid", "doc_id", "lo", F.posexplode("inner").alias("k", "x")).select("uid", "doc_id", (F.col("lo") + F.col("k")).alias("a"), "x.w1", "x.w2")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
+    first = materialize(first, "substring-windows-least")
     last = windows.join(first, ["w1", "w2"]).where("doc_id > first").select("uid", "a", F.col("a").alias("b"))
     return settled.unionByName(more).unionByName(last)
 
