@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext  # noqa: F401  (workers import it with this module)
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -392,6 +391,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = materialize(verified(more, docs).distinct(), "jaccard-links")
     if found.limit(1).count():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found), "jaccard-stars")
-    ends = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("c"))
+    # Written before it is joined: right above an aggregate the join of a class with very many copies cannot be split.
+    ends = materialize(classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("sig").alias("s"), F.coalesce("component", "rep").alias("c")), "jaccard-classes")
     out = rows.join(ends, F.col("sig") == F.col("s"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
