@@ -7,8 +7,11 @@ and compound files hold several kinds; ``kind_of`` looks inside those, in Python
 from __future__ import annotations
 
 import io
+import lzma
 import re
+import struct
 import zipfile
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,7 +73,7 @@ def kind_of_package(content: bytes) -> str:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             names = set(z.namelist())
             stated = z.read("mimetype").decode("ascii", "replace").strip() if "mimetype" in names else ""
-    except (zipfile.BadZipFile, RuntimeError, OSError, NotImplementedError, EOFError):
+    except (zipfile.BadZipFile, RuntimeError, OSError, NotImplementedError, EOFError, ValueError, struct.error, zlib.error, lzma.LZMAError):
         return "zip"
     # Media types and the parts that tell packages apart.
     for part, kind in (("opendocument.text", "odt"), ("opendocument.spreadsheet", "ods"), ("opendocument.presentation", "odp"), ("hwp+zip", "hwpx")):

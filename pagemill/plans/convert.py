@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.masking import mask
-from pagemill.functions.parse import kinds, parsed
+from pagemill.functions.parse import parsed
 from pagemill.operators.documents import MANIFEST, VERSION, changes, doc_key, index_lines, skim
-from pagemill.sources.archives import expanded
+from pagemill.sources.archives import expanded, met
 from pagemill.sources.bundle import INDEX, safe_path, write_bundle, write_file
 from pagemill.sources.folder import OUTPUT, files
 
@@ -22,8 +22,11 @@ _place = F.udf(safe_path, T.StringType())
 
 
 def scan(spark: SparkSession, root: str, output: str = OUTPUT) -> DataFrame:
-    """(kind, n_files, n_bytes) of a folder, from heads only; writes nothing."""
-    return skim(kinds(files(spark, root, "head", output)))
+    """(kind, n_files, n_bytes) of a folder, archives as their members; writes nothing.
+
+    Packages and compound files are read whole, as only all of them tells their kind; of the others the heads.
+    """
+    return skim(met(files(spark, root, "inside", output)))
 
 
 def documents(spark: SparkSession, root: str, output: str = OUTPUT) -> DataFrame:

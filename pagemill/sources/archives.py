@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import lzma
 import posixpath
+import struct
 import unicodedata
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,7 +42,7 @@ def members(content: bytes, depth: int = DEPTH, budget: list[int] | None = None)
     budget = [MOST_TOTAL] if budget is None else budget
     try:
         z = zipfile.ZipFile(io.BytesIO(content))
-    except (zipfile.BadZipFile, OSError, ValueError) as e:
+    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, struct.error) as e:
         yield "", None, f"damaged archive: {e}"
         return
     with z:
@@ -60,7 +63,7 @@ def members(content: bytes, depth: int = DEPTH, budget: list[int] | None = None)
                 try:
                     with z.open(info) as f:
                         data = f.read(info.file_size + 1)
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError, EOFError, ValueError) as e:
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError, EOFError, ValueError, struct.error, zlib.error, lzma.LZMAError) as e:
                     yield clean, None, f"damaged: {e}"
                     continue
                 budget[0] -= len(data)
@@ -89,3 +92,26 @@ def expanded(files: DataFrame, depth: int = DEPTH) -> DataFrame:
                     yield pd.DataFrame([(f.path, None, f.length, f.modified, content, None if content is not None else "too large")], columns=names)
 
     return files.select("path", "length", "modified", "content").mapInPandas(run, MEMBERS)
+
+
+def met(files: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(kind, length) of the rows that ``expanded`` gives; no content leaves the task.
+
+    Content that is shorter than its file is a head: the kind is what it tells, and an archive of which only that is known is
+    not opened.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows: list[tuple[str, int]] = []
+            for f in batch.itertuples(index=False):
+                content = None if f.content is None else bytes(f.content)
+                kind = kind_of(content)
+                if kind == "zip" and len(content) >= f.length:
+                    rows += [(kind_of(data), len(data or b"")) for _, data, _ in members(content, depth)]
+                else:
+                    rows.append((kind, f.length))
+            if rows:
+                yield pd.DataFrame(rows, columns=["kind", "length"])
+
+    return files.select("length", "content").mapInPandas(run, "kind string, length long")

@@ -2,7 +2,8 @@
 
 Spark's own binary source leaves out empty files and names that begin with ``_`` or ``.``; a user's folder has both. Lock
 files and links are left out on purpose, and so is the folder that results are written to. Content is read only if asked for
-(option ``content``: ``none``, ``head`` or ``all``), in the executors.
+(option ``content``: ``none``, ``head``, ``all``, or ``inside``: heads, but packages and compound files whole, whose kind stands
+anywhere in them), in the executors.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from pagemill.functions.sniff import SIGNATURES
+
 OUTPUT = "_변환결과"
 SCHEMA = "path string, name string, length long, modified timestamp, content binary"
 HEAD_BYTES = 8192
+# How ZIP and compound files begin.
+LOOKED_INTO = tuple(bytes.fromhex(s) for s, kind in SIGNATURES if kind in ("zip", "ole"))
 
 
 class Batch(InputPartition):
@@ -59,9 +64,12 @@ class _Reader(DataSourceReader):
     def read(self, partition: Batch) -> Iterator[tuple]:
         for path, length, modified in partition.files:
             content = None
-            if self.content != "none" and (self.content == "head" or length <= self.most):
+            heads = self.content in ("head", "inside")
+            if self.content != "none" and (heads or length <= self.most):
                 with open(os.path.join(self.root, path), "rb") as f:
-                    content = f.read(HEAD_BYTES if self.content == "head" else -1)
+                    content = f.read(HEAD_BYTES if heads else -1)
+                    if self.content == "inside" and content.startswith(LOOKED_INTO) and length <= self.most:
+                        content += f.read()
             shown = unicodedata.normalize("NFC", path).replace(os.sep, "/")
             yield shown, shown.rpartition("/")[2], length, dt.datetime.fromtimestamp(modified, dt.timezone.utc), content
 

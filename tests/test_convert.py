@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -10,7 +11,8 @@ import pytest
 import __spark_entry__ as entry
 from pagemill.operators.documents import changes
 from pagemill.operators.numbering import numbered
-from pagemill.plans.convert import convert
+from pagemill.plans import material
+from pagemill.plans.convert import convert, converted, documents, scan
 from pagemill.plans.selfcheck import checks
 from pagemill.queries import ORACLE, QUERIES
 from pagemill.sources.folder import files
@@ -46,6 +48,19 @@ def test_listing_sees_what_a_folder_has(spark, tmp_path):
     assert got == {"a b#%.txt": 1, "_u.txt": 1, ".dot": 1, "empty": 0, "_hidden/x": 1, "한글.txt": 1}
 
 
+def test_skim_meets_what_a_conversion_does(spark, tmp_path):
+    noise = random.Random(5).randbytes(40_000)
+    docx = material.package({"word/media/image1.bin": noise, "word/document.xml": f"<w:document {material.W}><w:body/></w:document>"})
+    hwp = material.compound_file({"BinData/BIN0001": noise, "FileHeader": b"HWP Document File".ljust(32, b"\0") + bytes(224), "BodyText/Section0": b""})
+    found = {"big.docx": docx, "big.hwp": hwp, "more.zip": material.package({"in.docx": docx, "note.txt": "x" * 10, "inner.zip": material.package({"in.hwp": hwp})}), "cut.docx": docx[:30_000], "long.txt": b"y" * 20_000}
+    for name, content in found.items():
+        (tmp_path / name).write_bytes(content)
+    assert min(len(docx), len(hwp)) > 4 * 8192
+    got = {r["kind"]: (r["n_files"], r["n_bytes"]) for r in scan(spark, str(tmp_path)).collect()}
+    assert got == {"docx": (2, 2 * len(docx)), "hwp": (2, 2 * len(hwp)), "text": (2, 20_010), "empty": (1, 0)}
+    assert {k: n for k, (n, _) in got.items()} == {r["kind"]: r["count"] for r in converted(documents(spark, str(tmp_path))).groupBy("kind").count().collect()}
+
+
 def test_listing_of_an_empty_folder(spark, tmp_path):
     assert files(spark, str(tmp_path)).count() == 0
 
