@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 from pagemill.functions.blocks import Block, heading, paragraph, table
-from pagemill.functions.packages import MOST_BYTES, shown_number
+from pagemill.functions.packages import MOST_BYTES, bounded, shown_number
 
 FREE, END = 0xFFFFFFFF, 0xFFFFFFFE
 
@@ -178,8 +178,10 @@ def _hwp_table(grid: dict) -> Block:
     cells = grid["cells"]
     if not cells:
         return paragraph("")
-    high, wide = min(4096, 1 + max(r for r, _ in cells)), min(1024, 1 + max(c for _, c in cells))
-    return table([["\n".join(cells.get((r, c), [])).strip() for c in range(wide)] for r in range(high)])
+    high, wide = 1 + max(r for r, _ in cells), 1 + max(c for _, c in cells)
+    held = {r for r, _ in cells}
+    bounded(len(held), wide)
+    return table([["\n".join(cells.get((r, c), [])).strip() for c in range(wide)] if r in held else [] for r in range(high)])
 
 
 # --- doc

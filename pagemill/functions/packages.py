@@ -14,6 +14,8 @@ from pagemill.functions.blocks import Block, heading, item, paragraph, table
 
 #: A part of a package may not unpack to more than this.
 MOST_BYTES = 256 << 20
+#: A table may not have more cells than this; what has is an error of the document (a full sheet of 32 columns has as many).
+MOST_CELLS = 1 << 25
 
 
 def local(tag: object) -> str:
@@ -275,17 +277,36 @@ def _odf_text(e: ET.Element) -> str:
     return "".join(out)
 
 
+def bounded(n_rows: int, wide: int, n_chars: int = 0) -> None:
+    """Against hostile files: a table that would unpack to too much is an error, never cut."""
+    if n_rows * wide > MOST_CELLS or n_chars > MOST_BYTES:
+        raise ValueError(f"a table of {n_rows} x {wide} cells unpacks to too much")
+
+
 def _odf_table(t: ET.Element) -> Block:
-    rows = []
+    rows: list = []
+    filled = wide = n_chars = 0
     for r in (e for e in t.iter() if local(e.tag) == "table-row"):
         row: list[str] = []
+        gap = own = 0
         for c in children(r, "table-cell", "covered-table-cell"):
             text = "\n".join(_odf_text(p) for p in c.iter() if local(p.tag) == "p")
-            # An empty cell may be repeated to the sheet's edge.
-            row += [text] * (min(int(attr(c, "number-columns-repeated", "1")), 1024) if text else min(int(attr(c, "number-columns-repeated", "1")), 64))
-        while row and not row[-1]:
-            row.pop()
-        rows += [row] * (min(int(attr(r, "number-rows-repeated", "1")), 1024) if row else 1)
+            n = max(0, int(attr(c, "number-columns-repeated", "1")))
+            if not text:
+                # May be repeated to the sheet's edge; counts only if a filled cell follows.
+                gap += n
+                continue
+            own += n * len(text)
+            bounded(1, len(row) + gap + n, own)
+            row += [""] * gap + [text] * n
+            gap = 0
+        if not row:
+            rows.append(())
+            continue
+        n = max(0, int(attr(r, "number-rows-repeated", "1")))
+        filled, wide, n_chars = filled + n, max(wide, len(row)), n_chars + n * own
+        bounded(filled, wide, n_chars)
+        rows += [tuple(row)] * n
     while rows and not rows[-1]:
         rows.pop()
     return table(rows)

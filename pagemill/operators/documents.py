@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VERSION = "1"
+VERSION = "2"
 MANIFEST = "doc_id string, sha256 string, options_hash string, version string, out_path string"
 
 

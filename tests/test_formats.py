@@ -90,6 +90,38 @@ def test_encrypted_is_an_error():
     assert parse(bytes(data))[3] == "ValueError: encrypted"
 
 
+def _sheet(rows: str) -> bytes:
+    return material._open("spreadsheet", f'<office:spreadsheet><table:table table:name="s">{rows}</table:table></office:spreadsheet>')
+
+
+def test_repeated_rows_and_gaps_are_whole():
+    cell = lambda t, n=1: f'<table:table-cell table:number-columns-repeated="{n}">{f"<text:p>{t}</text:p>" if t else ""}</table:table-cell>'
+    row = lambda cells, n=1: f'<table:table-row table:number-rows-repeated="{n}">{cells}</table:table-row>'
+    kind, _, markdown, error = parse(_sheet(row(cell("same"), 5000) + row(cell("a") + cell("", 100) + cell("b", 1500) + cell("", 15000)) + row(cell("", 16384), 1_000_000)))
+    lines = [[c.strip() for c in line.split("|")[1:-1]] for line in markdown.split("\n") if line.startswith("| ") and "---" not in line]
+    assert kind == "ods" and not error
+    assert len(lines) == 5001 and all(c[0] == "same" and not any(c[1:]) for c in lines[:-1])
+    assert lines[-1] == ["a", *[""] * 100, *["b"] * 1500]
+    # Too much is an error of the document, not a cut.
+    for hostile in (row(cell("x", 1000), 1_000_000), row(cell("x", 10**12)), row(cell("x"), 10**12), row(cell("", 10**12) + cell("x")), row(cell("x" * 1000), 1_000_000)):
+        assert parse(_sheet(hostile))[2] == "" and "unpacks to too much" in parse(_sheet(hostile))[3]
+
+
+def _hwp_grid(cells: list[tuple[int, int, str]]) -> bytes:
+    rows = [material._record(77, 2, bytes(8))]
+    for r, c, text in cells:
+        rows += [material._record(72, 2, bytes(8) + struct.pack("<HH", c, r) + bytes(8)), material._record(67, 3, text.encode("utf-16-le"))]
+    return material.compound_file({"FileHeader": b"HWP Document File".ljust(32, b"\0") + struct.pack("<II", 0x05000300, 0) + bytes(216), "BodyText/Section0": b"".join(rows)})
+
+
+def test_large_hwp_tables_are_whole():
+    kind, _, markdown, error = parse(_hwp_grid([(0, 0, "first"), (5000, 1, "low"), (7, 1500, "right")]))
+    assert kind == "hwp" and not error
+    lines = [[c.strip() for c in line.split("|")[1:-1]] for line in markdown.split("\n") if line.startswith("| ") and "---" not in line]
+    assert [(c.index(next(filter(None, c))), "".join(c)) for c in lines] == [(0, "first"), (1500, "right"), (1, "low")]
+    assert "unpacks to too much" in parse(_hwp_grid([(r, 65535, "x") for r in range(600)]))[3]
+
+
 def test_html_without_end_tags():
     blocks = html_blocks("<table><tr><td>a<td>b<tr><td>c</table><p>x<p>y<h3>z".encode())
     assert blocks[0].rows == (("a", "b"), ("c",))
