@@ -17,16 +17,14 @@ from pagemill.llm.common import arrow_rows, materialize, squeezed, table, unsque
 from pagemill.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Below this score a language counts as not identified; both machines undecided give 0.25.
-MIN_SCORE = 0.25
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts whose language stays open."""
-    model = language.train(docs)
-    found = language.predict(docs.select(*COLUMNS), model)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+    model = language.train(docs, judge=True)
+    found = language.predict(docs.select(*COLUMNS), model, judge=True)
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

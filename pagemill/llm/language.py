@@ -9,6 +9,10 @@ Learning uses at most ``PER_LANGUAGE`` labelled documents a language, those with
 made on the executors, so the driver holds PER_LANGUAGE vectors of DIMENSIONS half-precision numbers a language, whatever
 the texts' length. Prediction is one pass over all rows without a shuffle; the model (a few vectors) goes to every task.
 
+Whether a text's language stays open is judged on two counts: how far its score is above the least that the score can be (both
+machines undecided), and how like it is to the mean of the language chosen. What is usual in a language comes from labelled
+documents that a model learned from the other half of them identifies rightly; a text far below the lowest of these is open.
+
 Defined results: a text that is null or has no letter is ``und`` with score 0; where nothing can be learned (no labelled
 rows) every text is; with one language only, every other text is it; repeated rows get equal predictions.
 """
@@ -31,6 +35,10 @@ ORDERS = (1, 2, 3, 4)
 PER_LANGUAGE = 400
 UNKNOWN = "und"
 SEED = 17
+#: A language is open below these parts of the score and likeness that all but the lowest ``LOWEST`` of its documents reach. Likeness
+#: also falls with a text's length, so it has the lower bound.
+OPEN = (1 / 3, 1 / 5)
+LOWEST = 0.01
 _LETTER = regex.compile(r"\p{L}")
 _KEPT = np.full(256, 32, dtype=np.uint8)
 _KEPT[97:123] = np.arange(97, 123)
@@ -93,11 +101,12 @@ def families(means: np.ndarray) -> list[list[int]]:
 
 
 class Model:
-    def __init__(self, x: np.ndarray, labels: list[str]):
+    def __init__(self, x: np.ndarray, labels: list[str], judge: bool = False):
         self.names = sorted(set(labels))
         y = np.array([self.names.index(s) for s in labels])
         means = np.array([x[y == k].mean(axis=0) for k in range(len(self.names))]) if self.names else np.zeros((0, DIMENSIONS))
         means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+        self.means = means.astype(np.float32)
         self.groups = families(means)
         family = np.zeros(len(self.names), dtype=int)
         for g, group in enumerate(self.groups):
@@ -108,6 +117,36 @@ class Model:
             for a, b in combinations(group, 2):
                 own = (y == a) | (y == b)
                 self.second[a, b] = machine(x[own], np.where(y[own] == a, 1.0, -1.0))
+        # The score of a text that leaves every machine undecided, by language.
+        self.floor = np.zeros(len(self.names))
+        for group in self.groups:
+            self.floor[group] = 0.5 ** (bool(self.first) + (len(group) > 1))
+        self.least = self._least(x, labels) if judge else np.zeros((len(self.names), 2))
+
+    def _least(self, x: np.ndarray, labels: list[str]) -> np.ndarray:
+        """Least excess of score and likeness of a settled text by language, each half of the rows judged by a model of the other."""
+        nth, seen = np.zeros(len(labels), dtype=int), dict.fromkeys(self.names, 0)
+        for k, name in enumerate(labels):
+            nth[k], seen[name] = seen[name], seen[name] + 1
+        found: dict[str, list[np.ndarray]] = {name: [] for name in self.names}
+        for half in (0, 1):
+            own, rest = np.flatnonzero(nth % 2 == half), np.flatnonzero(nth % 2 != half)
+            if not len(own) or not len(rest):
+                continue
+            other = Model(x[rest], [labels[k] for k in rest])
+            picked, score = other(x[own])
+            for k, p, reached in zip(own, picked, other.reached(x[own], picked, score), strict=True):
+                if other.names[p] == labels[k]:
+                    found[labels[k]].append(reached)
+        return np.array(OPEN) * np.array([np.quantile(found[name], LOWEST, axis=0) if found[name] else np.zeros(2) for name in self.names]).reshape(-1, 2)
+
+    def reached(self, x: np.ndarray, picked: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """For each vector, the part of the way from the least score to 1, and the likeness to the mean of the language chosen."""
+        floor = self.floor[picked]
+        return np.stack([(score - floor) / np.maximum(1 - floor, 1e-9), (x * self.means[picked]).sum(axis=1)], axis=1)
+
+    def settled(self, x: np.ndarray, picked: np.ndarray, score: np.ndarray) -> np.ndarray:
+        return (self.reached(x, picked, score) >= self.least[picked]).all(axis=1)
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language and a score from 0 to 1 for each vector."""
@@ -142,8 +181,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learns from rows of ``docs`` with a label and a text; the caller leaves out what is held out."""
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, judge: bool = False) -> Model:
+    """Learns from rows of ``docs`` with a label and a text; the caller leaves out what is held out. ``judge``: also what leaves a language open."""
     spark = docs.sparkSession
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.xxhash64(F.lit(SEED), F.col(doc_id).cast("string")) / float(2**64) + 0.5).alias("u")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
@@ -164,11 +203,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         if seen[name] < per_language:
             seen[name] += 1
             kept.append((name, x))
-    return Model(np.stack([np.frombuffer(x, dtype=np.float16) for _, x in kept]).astype(np.float32), [name for name, _ in kept])
+    return Model(np.stack([np.frombuffer(x, dtype=np.float16) for _, x in kept]).astype(np.float32), [name for name, _ in kept], judge)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (replacing columns of these names)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", judge: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score (replacing columns of these names); ``judge``: open languages are ``und``."""
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "score")
     shared = spark.sparkContext.broadcast(model)  # some vectors of DIMENSIONS numbers for every two languages
@@ -181,9 +220,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             some = [k for k, t in enumerate(texts) if t and model.names and _LETTER.search(t)]
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             if some:
-                picked, score = model(features([texts[k] for k in some]))
-                for k, p, s in zip(some, picked, score, strict=True):
-                    names[k], scores[k] = model.names[p], float(s)
+                x = features([texts[k] for k in some])
+                picked, score = model(x)
+                settled = model.settled(x, picked, score) if judge else np.ones(len(x), dtype=bool)
+                for k, p, s, sure in zip(some, picked, score, settled, strict=True):
+                    names[k], scores[k] = model.names[p] if sure else UNKNOWN, float(s)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
     from pyspark.sql import types as T

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -32,6 +33,18 @@ def test_stages(spark):
     assert set(whole) == set(times)
 
 
+def test_open_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*p.COLUMNS)
+    r = random.Random(1)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)) for n in (200, 1000, 3000)]
+    odd = ["안녕하세요 오늘은 날씨가 좋습니다 그래서 밖으로 나갔습니다", "Привет мир как дела сегодня хорошая погода и мы пошли гулять", *noise]
+    clean = ["This is an ordinary sentence in English about the weather and the people who walked there."]
+    more = spark.createDataFrame([(9_000_000 + k, t, None, "src0", len(t)) for k, t in enumerate(odd + clean)], docs.schema)
+    kept = {r["doc_id"] for r in p.language_id(spark, docs.unionByName(more), "unused").select("doc_id").collect()}
+    assert not kept & {9_000_000 + k for k in range(len(odd))}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} | {9_000_000 + len(odd)}
+
+
 def test_empty_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for name, stage in p.STAGES:
