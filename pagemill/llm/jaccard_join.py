@@ -80,7 +80,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
         counts = None
         for batch in batches:
             ns, sigs, bits, waiting, held = [], [], [], [], 0
-            counts = np.zeros(SKETCH, dtype=np.uint8) if counts is None else counts
+            counts = np.zeros(SKETCH, dtype=np.uint16) if counts is None else counts
             for _, s in shingle_sets(batch.column(1)):
                 ns.append(len(s))
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -106,7 +106,8 @@ def _profiles(docs: DataFrame) -> DataFrame:
 def _count(counts: np.ndarray, sets: list[np.ndarray]) -> None:
     if sets:
         cells, n = np.unique((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
-        counts[cells] = np.minimum(counts[cells] + n, 255)
+        # As wide as the summed sketch: what a task cuts off here, the sum cuts off anyway.
+        counts[cells] = np.minimum(counts[cells] + n, 65535)
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -118,7 +119,7 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
         for batch in batches:
             for k, cells, raw in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 own = sums.setdefault(k, np.zeros(step, dtype=np.uint32))
-                own[np.frombuffer(cells.as_buffer(), dtype=np.uint16)] += np.frombuffer(raw.as_buffer(), dtype=np.uint8)
+                own[np.frombuffer(cells.as_buffer(), dtype=np.uint16)] += np.frombuffer(raw.as_buffer(), dtype=np.uint16)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 65535).astype(np.uint16).tobytes() for s in sums.values()], pa.binary())], ["piece", "counts"])
 

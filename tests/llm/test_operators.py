@@ -96,6 +96,11 @@ def test_jaccard_join_of_hot_shingles(docs, monkeypatch):
     assert sorted(map(tuple, jaccard_join.link(docs).collect())) == want
 
 
+def test_sketch_counts_all_of_a_task(spark):
+    docs = spark.range(0, 1500, 1, 2).selectExpr("id AS doc_id", "concat('one two three four five six', id) AS text")
+    assert int(jaccard_join._sketch(jaccard_join._profiles(docs)).max()) == 1500
+
+
 def test_signatures_never_overstate():
     rng = np.random.default_rng(2)
     for n in (1, 5, 100, 900, 3000):
