@@ -45,6 +45,14 @@ def test_open_languages_go(spark):
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} | {9_000_000 + len(odd)}
 
 
+def test_equal_ids_of_different_texts_stay(spark):
+    text = lambda k: " ".join(f"w{(k * 7919 + j * 31) % 9973}" for j in range(60))
+    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(1)), (3, text(3)), (3, text(1) + " more"), (4, text(3)), (4, text(4)), (None, text(5)), (None, text(5))]
+    docs = spark.createDataFrame([(d, t, "en", "src0", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, "unused").collect())
+    assert got == Counter([(1, text(1)), (1, text(2)), (3, text(3)), (4, text(4)), (None, text(5)), (None, text(5))])
+
+
 def test_empty_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for name, stage in p.STAGES:
