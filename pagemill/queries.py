@@ -59,7 +59,7 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcript_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("**"), x["role"], F.lit("**: "), x["text"])), "\n\n").alias("markdown"))
+    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("**"), F.coalesce(x["role"], F.lit("")), F.lit("**: "), F.coalesce(x["text"], F.lit("")))), "\n\n").alias("markdown"))
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,11 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, db.sql(f"SELECT {', '.join(columns)} FROM want").fetchall()))
 
 
+def test_turns_of_null_stay_in_the_transcript(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "user", None), (1, 2, None, "b"), (1, 3, "user", "c")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert QUERIES["transcript_markdown"](spark, str(tmp_path)).collect()[0]["markdown"] == "**user**: \n\n****: b\n\n**user**: c"
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
     assert set(ORACLE) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
