@@ -31,7 +31,7 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cleaned(table(spark, sf_dir, "documents"))
+    return suffix_dedup.cleaned(table(spark, sf_dir, "documents"), note=suffix_dedup.NOTE)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

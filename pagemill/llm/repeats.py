@@ -19,10 +19,11 @@ from pagemill.llm.common import discard, materialize
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(uid, doc_id, sha, text) and the columns to carry: rows of equal id and text have equal uid."""
+    """(uid, doc_id, sha, text) and the columns to carry: rows of equal id and text have equal uid, 128 bits of both."""
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
     kept = kept.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    return kept.select(F.xxhash64("doc_id", "sha").alias("uid"), "doc_id", "sha", "text", *carry)
+    uid = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit("/").cast("binary"), F.col("sha"))))
+    return kept.select(uid.alias("uid"), "doc_id", "sha", "text", *carry)
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def anchor_runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return places[lo], lo, np.r_[lo[1:], len(places)] - 1
 
 
-ANCHORED = "uid long, tag long, h array<long>, p array<int>, lo array<int>, hi array<int>"
+#: What is known of a text without others travels with its anchors: as runs lo..hi of kind -1 - p, with p below 0.
+ANCHORED = "uid binary, tag long, h array<long>, p array<int>, lo array<int>, hi array<int>"
 
 
 def anchored(rows: DataFrame, find: Callable[[pa.Array], Iterator[tuple]]) -> DataFrame:
@@ -73,14 +75,17 @@ def anchored(rows: DataFrame, find: Callable[[pa.Array], Iterator[tuple]]) -> Da
     return rows.select("uid", F.xxhash64("sha").alias("tag"), "text").mapInArrow(run, ANCHORED)
 
 
-def repeated_anchors(found: DataFrame, firsts: DataFrame, across: bool, label: str) -> DataFrame:
-    """(uid, spots: array of (h, p, lo, hi, m)), for each class's first row, of anchors whose gram occurs again (m times in all).
+def repeated_anchors(found: DataFrame, firsts: DataFrame, across: bool, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """(uid, spots: array of (h, p, lo, hi, m)), for each class's first row, of anchors whose gram occurs again (m times in all),
+    and (uid, kind, a, b) of the runs that travelled with them.
 
-    ``across``: in another text. Then copies need not be left out before grams are counted, which saves a shuffle of all anchors.
+    ``across``: in another text, and no runs. Then copies need not be left out before grams are counted, which saves a shuffle of all anchors.
     """
     first = firsts.select(F.col("first").alias("uid"))
     one = found if across else found.join(first, "uid", "left_semi")
-    flat = materialize(one.select("uid", "tag", F.explode(F.arrays_zip("h", "p", "lo", "hi")).alias("x")).select("uid", "tag", "x.h", "x.lo", (F.col("x.p") - F.col("x.lo")).alias("off"), (F.col("x.hi") - F.col("x.lo")).alias("span")), f"{label}-anchors")
+    every = materialize(one.select("uid", "tag", F.explode(F.arrays_zip("h", "p", "lo", "hi")).alias("x")).select("uid", "tag", "x.h", "x.lo", (F.col("x.p") - F.col("x.lo")).alias("off"), (F.col("x.hi") - F.col("x.lo")).alias("span")), f"{label}-anchors")
+    flat = every.where("off >= 0")
+    runs = None if across else materialize(every.where("off < 0").select("uid", (-1 - F.col("off") - F.col("lo")).alias("kind"), F.col("lo").alias("a"), (F.col("lo") + F.col("span")).alias("b")), f"{label}-settled")
     counts = flat.groupBy("h").agg(F.count("*").alias("m"), F.min("tag").alias("a"), F.max("tag").alias("b")).where("a < b" if across else "m > 1").select("h", "m")
     # Written first: a join right above an aggregate cannot be split where one gram has very many rows.
     counts = materialize(counts, f"{label}-grams")
@@ -91,5 +96,5 @@ def repeated_anchors(found: DataFrame, firsts: DataFrame, across: bool, label: s
     spot = F.struct("h", (F.col("lo") + F.shiftright("r", 12)).cast("int").alias("p"), "lo", (F.col("lo") + F.col("r").bitwiseAND(F.lit((1 << 12) - 1))).cast("int").alias("hi"), "m")
     spots = joined.groupBy("uid").agg(F.collect_list(spot).alias("spots"))
     out = materialize(spots.join(first, "uid", "left_semi") if across else spots, f"{label}-spots")
-    discard(flat, counts)
-    return out
+    discard(every, counts)
+    return out, runs

@@ -28,17 +28,25 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) AS BIGINT) -
 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 """
 
-SUFFIX_DEDUP = """
+def _runs(d: str, length: int) -> str:
+    """CTEs p, f, q, r, s with the suffix ``d``: maximal runs a..b of bytes that repeated strings of so many bytes cover."""
+    return f"""
+p{d} AS (SELECT doc_id, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), {2 * length})) AS g FROM (SELECT doc_id, h, unnest(range(0, n - {length - 1})) AS i FROM d)),
+f{d} AS (SELECT g FROM p{d} GROUP BY g HAVING count(*) > 1),
+q{d} AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM p{d} WHERE g IN (SELECT g FROM f{d})),
+r{d} AS (SELECT doc_id, i, sum(CASE WHEN step <= {length} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM q{d}),
+s{d} AS (SELECT doc_id, run, min(i) AS a, max(i) + {length} AS b FROM r{d} GROUP BY doc_id, run)"""
+
+
+SUFFIX_DEDUP = f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
-p AS (SELECT doc_id, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d)),
-f AS (SELECT g FROM p GROUP BY g HAVING count(*) > 1),
-q AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM p WHERE g IN (SELECT g FROM f)),
-r AS (SELECT doc_id, i, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM q),
-s AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM r GROUP BY doc_id, run),
+{_runs('', 400)},
+{_runs('2', 200)},
 t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS gone, count(*) AS runs FROM s GROUP BY doc_id),
+u AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS again FROM s2 GROUP BY doc_id),
 e AS (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, n, n FROM d),
 k AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS left_at FROM e),
 j AS (SELECT k.doc_id, string_agg(substr(h, CAST(2 * left_at + 1 AS BIGINT), CAST(2 * (a - left_at) AS BIGINT)), '' ORDER BY a) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
-SELECT d.doc_id, d.n AS n_bytes, coalesce(t.gone, 0) AS n_removed, coalesce(t.runs, 0) AS n_spans, sha256(unhex(j.kept)) AS kept_sha256
-FROM d LEFT JOIN t ON t.doc_id = d.doc_id JOIN j ON j.doc_id = d.doc_id
+SELECT d.doc_id, d.n AS n_bytes, coalesce(t.gone, 0) AS n_removed, coalesce(t.runs, 0) AS n_spans, sha256(unhex(j.kept)) AS kept_sha256, coalesce(u.again, 0) AS n_repeated
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN u ON u.doc_id = d.doc_id JOIN j ON j.doc_id = d.doc_id
 """

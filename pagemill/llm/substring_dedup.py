@@ -59,10 +59,10 @@ def find_anchors(column: pa.Array, length: int) -> Iterator[tuple]:
                 yield first + k, hashes[p].view(np.int64), p - a, lo, hi
 
 
-CONTEXTS = "h long, uid long, doc_id long, lo int, hi int, body binary, crowded array<struct<lo:int,hi:int,d1:bigint,d2:bigint,inner:array<struct<lo:int,hi:int,d1:bigint,d2:bigint,w1:array<bigint>,w2:array<bigint>>>>>"
+CONTEXTS = "h long, uid binary, doc_id long, lo int, hi int, body binary, crowded array<struct<lo:int,hi:int,d1:bigint,d2:bigint,inner:array<struct<lo:int,hi:int,d1:bigint,d2:bigint,w1:array<bigint>,w2:array<bigint>>>>>"
 _PART = [("lo", pa.int32()), ("hi", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]
 _CROWDED = pa.struct([*_PART, ("inner", pa.list_(pa.struct([*_PART, ("w1", pa.list_(pa.int64())), ("w2", pa.list_(pa.int64()))])))])
-_CONTEXTS = pa.schema([("h", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("body", pa.binary()), ("crowded", pa.list_(_CROWDED))])
+_CONTEXTS = pa.schema([("h", pa.int64()), ("uid", pa.binary()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("body", pa.binary()), ("crowded", pa.list_(_CROWDED))])
 
 
 def digest(words: np.ndarray) -> int:
@@ -148,13 +148,14 @@ def seen_before(part: np.ndarray, docs: np.ndarray, bodies: list[bytes], length:
 
 def _judged(contexts: DataFrame, length: int) -> DataFrame:
     def judge(held: list) -> Iterator[pa.RecordBatch]:
-        h, uid, doc, lo = (np.array(c) for c in list(zip(*held, strict=True))[:4])
+        h, doc, lo = (np.array([x[k] for x in held]) for k in (0, 2, 3))
+        uid = pa.array([x[1] for x in held], pa.binary())
         context, window = seen_before(np.cumsum(np.r_[0, h[1:] != h[:-1]]), doc, [x[5] for x in held], length)
         if len(context):
             cut = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (window[1:] != window[:-1] + 1)])
             last = np.r_[cut[1:], len(context)] - 1
             who = context[cut]
-            yield pa.RecordBatch.from_arrays([pa.array(uid[who]), pa.array((lo[who] + window[cut]).astype(np.int32)), pa.array((lo[who] + window[last]).astype(np.int32))], ["uid", "a", "b"])
+            yield pa.RecordBatch.from_arrays([uid.take(pa.array(who)), pa.array((lo[who] + window[cut]).astype(np.int32)), pa.array((lo[who] + window[last]).astype(np.int32))], ["uid", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -171,7 +172,7 @@ def _judged(contexts: DataFrame, length: int) -> DataFrame:
             yield from judge(held)
 
     plain = contexts.where("h is not null").select("h", "uid", "doc_id", "lo", "hi", "body")
-    return plain.repartition("h").sortWithinPartitions("h").mapInArrow(run, "uid long, a int, b int")
+    return plain.repartition("h").sortWithinPartitions("h").mapInArrow(run, "uid binary, a int, b int")
 
 
 def _settled(each: DataFrame, inner: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +203,7 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     rows = keyed(docs, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(LEAST)))
     ids = materialize(rows.select("uid", "doc_id", "sha"), "substring-ids")
     kinds = materialize(classes(ids), "substring-classes")
-    spots = repeated_anchors(anchored(rows, lambda column: find_anchors(column, length)), kinds, across=True, label="substring")
+    spots, _ = repeated_anchors(anchored(rows, lambda column: find_anchors(column, length)), kinds, across=True, label="substring")
     contexts = materialize(_contexts(spots, rows, length, group), "substring-contexts")
     discard(spots)
     runs = materialize(_judged(contexts, length).unionByName(_crowded(contexts)), "substring-runs")

@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import arrow_rows, inflated, materialize, mix, shuffle_partitions, squeezed, text_slices
+from pagemill.llm.common import arrow_rows, discard, inflated, materialize, mix, shuffle_partitions, squeezed, text_slices
 from pagemill.llm.repeats import anchor_runs, anchored, classes, keyed, least_in_window, repeated_anchors
 
 LENGTH = 400
+#: Passages of over 50 words have at least so many bytes (all but one in a hundred); what is shorter than LENGTH is reported only.
+NOTE = 200
 GRAM = 32
 #: Window starts of a very long text that are looked at together.
 LONG = 4 << 20
@@ -87,86 +89,93 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def recurring(doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a document's windows: which recur in it, and which are the first of their kind."""
-    d = window_digests(doc, length)
-    _, first, inverse = np.unique(d.view([("a", np.uint64), ("b", np.uint64)]).reshape(-1), return_index=True, return_inverse=True)
-    again = np.flatnonzero(first[inverse] != np.arange(len(d)))
-    windows = np.lib.stride_tricks.sliding_window_view(doc, length)
-    repeats = np.zeros(len(d), dtype=bool)
-    for k in range(0, len(again), 2000):
-        at = again[k : k + 2000]
-        same = (windows[at] == windows[first[inverse[at]]]).all(axis=1)
-        repeats[at[same]] = True
-        repeats[first[inverse[at[same]]]] = True
-    unseen = np.zeros(len(d), dtype=bool)
-    unseen[first] = True
-    return repeats, unseen | ~repeats
-
-
-def _anchors(doc: np.ndarray, hashes: np.ndarray, places: np.ndarray, length: int) -> tuple:
-    """Gram hashes, places, first and last window starts of a document's anchors, and which windows recur in it, if it was looked at."""
+def recurring(doc: np.ndarray, lengths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of a document's windows of each length: which recur in it; and of its starts, those whose longest window is the first of its kind."""
+    every, fresh = [], np.ones(len(doc) - lengths[0] + 1, dtype=bool)
+    for length in lengths:
+        d = window_digests(doc, length)
+        repeats = np.zeros(len(d), dtype=bool)
+        if len(d):
+            _, first, inverse = np.unique(d.view([("a", np.uint64), ("b", np.uint64)]).reshape(-1), return_index=True, return_inverse=True)
+            again = np.flatnonzero(first[inverse] != np.arange(len(d)))
+            windows = np.lib.stride_tricks.sliding_window_view(doc, length)
+            for k in range(0, len(again), 2000):
+                at = again[k : k + 2000]
+                same = (windows[at] == windows[first[inverse[at]]]).all(axis=1)
+                repeats[at[same]] = True
+                repeats[first[inverse[at[same]]]] = True
+            if length == lengths[-1]:
+                unseen = np.zeros(len(d), dtype=bool)
+                unseen[first] = True
+                # A start too near the end for the longest window always goes on.
+                fresh[: len(d)] = unseen | ~repeats
+        every.append(repeats)
+    return every, fresh
+
+
+def _anchors(doc: np.ndarray, hashes: np.ndarray, places: np.ndarray, lengths: tuple[int, ...]) -> list[tuple]:
+    """(gram hashes, places, first and last window starts) of a document's anchors, and of runs settled in it (places -1 - level)."""
     p, lo, hi = anchor_runs(places)
-    settled = None
+    runs = []
     if len(p) > 64 and len(p) > len(doc) // 40:
-        settled, fresh = recurring(doc, length)
+        settled, fresh = recurring(doc, lengths)
         at = np.repeat(np.arange(len(p)), hi - lo + 1)
-        at[~fresh] = -1
+        at[~fresh[: len(at)]] = -1
         cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         end = np.r_[cut[1:], len(at)] - 1
         keep = at[cut] >= 0
         p, lo, hi = p[at[cut[keep]]], cut[keep], end[keep]
-    return hashes[p].view(np.int64), p, lo, hi, settled
+        for level, mask in enumerate(settled):
+            a, b = _runs(mask)
+            runs.append((np.zeros(len(a), dtype=np.int64), np.full(len(a), -1 - level), a, b))
+    return [(hashes[p].view(np.int64), p, lo, hi), *runs]
 
 
-def find_anchors(column: pa.Array, length: int, with_settled: bool = False) -> Iterator[tuple]:
-    """(row, gram hashes, places, first and last window starts) for each text; or (row, first, last) of settled windows.
+def find_anchors(column: pa.Array, lengths: tuple[int, ...]) -> Iterator[tuple]:
+    """(row, gram hashes, places, first and last window starts) for each text, with the runs settled in it (places -1 - level).
 
-    A text beyond ``LONG`` bytes is taken in blocks of so many window starts; an anchor cut in two is two anchors.
+    Anchors are those of the shortest windows; a longer window has the anchor of its beginning. A text beyond ``LONG`` bytes is
+    taken in blocks of so many window starts; an anchor cut in two is two anchors.
     """
+    short, most = lengths[0], lengths[-1]
     for first, data, offs in text_slices(column):
-        if len(data) < length:
+        if len(data) < short:
             continue
         if len(offs) == 2 and len(data) > 2 * LONG:
-            blocks = [(0, s, data[s : s + LONG + length - 1]) for s in range(0, len(data) - length + 1, LONG)]
-            found = ((k, s, *_anchors(block, h := gram_hashes(block), least_in_window(h, length - GRAM + 1), length)) for k, s, block in blocks)
+            blocks = [(0, s, data[s : s + LONG + most - 1]) for s in range(0, len(data) - short + 1, LONG)]
+            # Starts beyond the first LONG belong to the next block.
+            found = ((k, s, _anchors(block, h := gram_hashes(block), least_in_window(h, short - GRAM + 1)[:LONG], lengths)) for k, s, block in blocks)
         else:
             hashes = gram_hashes(data)
-            places = least_in_window(hashes, length - GRAM + 1)
-            found = ((k, 0, *_anchors(data[a:b], hashes[a : b - GRAM + 1], places[a : b - length + 1] - a, length)) for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)) if b - a >= length)
-        parts: list = []
-        for k, shift, h, p, lo, hi, settled in found:
-            if with_settled:
-                if settled is not None:
-                    x, y = _runs(settled)
-                    yield first + k, x + shift, y + shift
-            elif len(offs) == 2:
-                parts.append((h, p + shift, lo + shift, hi + shift))
-            else:
-                yield first + k, h, p, lo, hi
-        if parts:
-            yield first, *(np.concatenate(c) for c in zip(*parts, strict=True))
+            places = least_in_window(hashes, short - GRAM + 1)
+            found = ((k, 0, _anchors(data[a:b], hashes[a : b - GRAM + 1], places[a : b - short + 1] - a, lengths)) for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)) if b - a >= short)
+        held: dict[int, list] = {}
+        for k, shift, parts in found:
+            held.setdefault(k, []).extend((h, np.where(p < 0, p, p + shift), lo + shift, hi + shift) for h, p, lo, hi in parts)
+            if len(offs) > 2:
+                yield first + k, *(np.concatenate(c) for c in zip(*held.pop(k), strict=True))
+        for k, parts in held.items():
+            yield first + k, *(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
-    """Which windows are repeated among contexts of equal gid: flags by (context, place of the start from p - length + GRAM on).
+def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarray, hi: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
+    """Which windows of each length are repeated among contexts of equal gid: flags by (length, context, place of the start from p - lengths[0] + GRAM on).
 
-    ``gid`` ascends. ``text[i]`` are the bytes from lo[i] to hi[i] + length of its document, ``p[i]`` its anchor.
+    ``gid`` ascends. ``text[i]`` are the bytes from lo[i] on of its document, to where the longest window from hi[i] ends; ``p[i]`` its anchor.
     """
-    back = length - GRAM
-    n, wide = len(gid), back + length
+    back, most = lengths[0] - GRAM, np.int16(lengths[-1])
+    n, wide = len(gid), lengths[0] - GRAM + lengths[-1]
     rows = np.zeros((n, wide), dtype=np.uint8)
-    begin = lo - p + back
-    stop = hi + length - p + back
+    begin, last = lo - p + back, hi - p + back
+    stop = begin + np.fromiter(map(len, text), dtype=np.int64, count=n)
     for i in range(n):
         rows[i, begin[i] : stop[i]] = text[i]
     rows = np.ascontiguousarray(rows.T)
-    flags = np.zeros((back + 1, n), dtype=bool)
+    flags = np.zeros((len(lengths), back + 1, n), dtype=bool)
     enters = np.argsort(-stop, kind="stable")
     enters = enters[np.lexsort((gid[enters], -stop[enters]))]
     entry = np.searchsorted(-stop[enters], -np.arange(wide + 1), side="left")
     order, common = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int16)
-    most = np.int16(length)
     for c in range(wide - 1, -1, -1):
         new = enters[entry[c + 1] : entry[c]] if c + 1 <= wide else enters[:0]
         if len(new):
@@ -191,9 +200,17 @@ def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarr
         common = np.zeros(len(order), dtype=np.int16)
         common[1:][same] = np.minimum(least + 1, most)
         if c <= back:
-            full = common == most
-            full[:-1] |= full[1:]
-            flags[c, order[full]] = True
+            # A start after the context's last one is another context's, perhaps of the same place in the same text.
+            own = np.flatnonzero(last[order] >= c)
+            if len(own) in (0, len(order)):
+                here, near = order[own], common[: len(own)]
+            else:
+                here, near = order[own], np.minimum.reduceat(common[: own[-1] + 1], np.r_[0, own[:-1] + 1])
+            for level, length in enumerate(lengths if len(own) else ()):
+                full = near >= length
+                full[0] = False
+                full[:-1] |= full[1:]
+                flags[level, c, here[full]] = True
         stay = begin[order] < c
         if not stay.all():
             kept = np.flatnonzero(stay)
@@ -206,52 +223,57 @@ def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarr
             # Of two grams' rows nothing is common.
             if len(order):
                 common[np.flatnonzero(np.r_[True, gid[order][1:] != gid[order][:-1]])] = 0
-    return flags.T
+    return flags.transpose(0, 2, 1)
 
 
-CONTEXTS = "h long, salt int, shares int, uid long, p int, lo int, hi int, body binary"
+CONTEXTS = "h long, salt int, shares int, uid binary, p int, lo int, hi int, body binary"
 
 
-def _contexts(spots: DataFrame, rows: DataFrame, length: int, group: int) -> DataFrame:
+def _contexts(spots: DataFrame, rows: DataFrame, most: int, group: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, data, spot in zip(batch.column(0).to_pylist(), inflated(batch.column(1)), batch.column(2), strict=True):
                 s = spot.values
                 h, p, lo, hi, m = (s.field(k).to_numpy(zero_copy_only=False) for k in range(5))
                 shares = -(-m // group)
-                salt = (mix((np.full(len(h), uid, dtype=np.int64).view(np.uint64)) + lo.astype(np.uint64)) % shares.astype(np.uint64)).astype(np.int32)
-                body = [data[int(a) : int(b) + length] for a, b in zip(lo, hi, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(shares.astype(np.int32)), pa.array(np.full(len(h), uid)), pa.array(p), pa.array(lo), pa.array(hi), pa.array(body, pa.binary())], ["h", "salt", "shares", "uid", "p", "lo", "hi", "body"])
+                salt = (mix(np.full(len(h), int.from_bytes(uid[:8], "little"), dtype=np.uint64) + lo.astype(np.uint64)) % shares.astype(np.uint64)).astype(np.int32)
+                body = [data[int(a) : int(b) + most] for a, b in zip(lo, hi, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(shares.astype(np.int32)), pa.array([uid] * len(h), pa.binary()), pa.array(p), pa.array(lo), pa.array(hi), pa.array(body, pa.binary())], ["h", "salt", "shares", "uid", "p", "lo", "hi", "body"])
 
     return squeezed(rows.select("uid", "text")).join(spots, "uid").select("uid", "text", "spots").mapInArrow(run, CONTEXTS)
 
 
-FOUND = "uid long, a int, b int, bucket int, digests binary, uids binary, starts binary, own binary"
-_FOUND = pa.schema([("uid", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("bucket", pa.int32()), ("digests", pa.binary()), ("uids", pa.binary()), ("starts", pa.binary()), ("own", pa.binary())])
+FOUND = "uid binary, level int, a int, b int, bucket int, digests binary, uids binary, starts binary, own binary"
+_FOUND = pa.schema([("uid", pa.binary()), ("level", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("bucket", pa.int32()), ("digests", pa.binary()), ("uids", pa.binary()), ("starts", pa.binary()), ("own", pa.binary())])
 
 
-def _judged(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Repeated window starts a..b by uid; of shared-out grams also packed digests for ``_across``."""
-    back = length - GRAM
+def _judged(contexts: DataFrame, lengths: tuple[int, ...], buckets: int) -> DataFrame:
+    """Repeated window starts a..b by uid and level; of shared-out grams also packed digests for ``_across``."""
+    back = lengths[0] - GRAM
 
     def judge(held: list) -> Iterator[pa.RecordBatch]:
-        h, salt, shares, uid, p, lo, hi = (np.array(c) for c in list(zip(*held, strict=True))[:7])
+        h, salt, shares, p, lo, hi = (np.array([x[k] for x in held]) for k in (0, 1, 2, 4, 5, 6))
+        uid = pa.array([x[3] for x in held], pa.binary())
         gid = np.cumsum(np.r_[0, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
         text = [np.frombuffer(x[7].as_buffer(), dtype=np.uint8) for x in held]
-        flags = columns(gid, text, p, lo, hi, length)
-        edge = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        i, a = np.nonzero(edge == 1)
-        _, b = np.nonzero(edge == -1)
-        base = p[i] - back
-        none = pa.nulls(len(i), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(uid[i]), pa.array((base + a).astype(np.int32)), pa.array((base + b - 1).astype(np.int32)), pa.nulls(len(i), pa.int32()), none, none, none, none], schema=_FOUND)
+        flags = columns(gid, text, p, lo, hi, lengths)
         many = np.flatnonzero(shares > 1)
-        if len(many):
-            d = np.concatenate([window_digests(text[k], length) for k in many])
-            spans = hi[many] - lo[many] + 1
-            start = np.concatenate([np.arange(lo[k], hi[k] + 1) for k in many]).astype(np.int32)
-            settled = np.concatenate([flags[k, lo[k] - p[k] + back : hi[k] - p[k] + back + 1] for k in many])
-            who, share = np.repeat(uid[many], spans), np.repeat(gid[many], spans)
+        keys = np.frombuffer(b"".join(held[k][3] for k in many), dtype="V16")
+        for level, length in enumerate(lengths):
+            edge = np.diff(np.pad(flags[level].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            i, a = np.nonzero(edge == 1)
+            _, b = np.nonzero(edge == -1)
+            base = p[i] - back
+            none = pa.nulls(len(i), pa.binary())
+            yield pa.RecordBatch.from_arrays([uid.take(pa.array(i)), pa.array(np.full(len(i), level, dtype=np.int32)), pa.array((base + a).astype(np.int32)), pa.array((base + b - 1).astype(np.int32)), pa.nulls(len(i), pa.int32()), none, none, none, none], schema=_FOUND)
+            # Near the end of its document a start may have no window of this length.
+            spans = np.array([max(0, min(hi[k] - lo[k] + 1, len(text[k]) - length + 1)) for k in many], dtype=np.int64)
+            if not spans.sum():
+                continue
+            d = np.concatenate([window_digests(text[k], length)[:m] for k, m in zip(many, spans, strict=True)])
+            start = np.concatenate([np.arange(lo[k], lo[k] + m) for k, m in zip(many, spans, strict=True)]).astype(np.int32)
+            settled = np.concatenate([flags[level, k, lo[k] - p[k] + back :][:m] for k, m in zip(many, spans, strict=True)])
+            who, share = np.repeat(keys, spans), np.repeat(gid[many], spans)
             # Of windows that the share has settled, one of each kind goes on.
             o = np.lexsort((share, d[:, 1], d[:, 0]))
             twin = np.r_[False, (d[o][1:] == d[o][:-1]).all(axis=1) & (share[o][1:] == share[o][:-1])]
@@ -262,7 +284,7 @@ def _judged(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
             cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
             parts = [o[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             none = pa.nulls(len(parts), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), none, none, pa.array(to[cuts[:-1]].astype(np.int32)), *(pa.array([c[x].tobytes() for x in parts], pa.binary()) for c in (d, who, start, settled))], schema=_FOUND)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.binary()), pa.array(np.full(len(parts), level, dtype=np.int32)), none, none, pa.array(to[cuts[:-1]].astype(np.int32)), *(pa.array([c[x].tobytes() for x in parts], pa.binary()) for c in (d, who, start, settled))], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -274,7 +296,7 @@ def _judged(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
                     yield from judge(held)
                     held, size = [], 0
                 held.append((*row, body))
-                size += row[6] - row[5] + length
+                size += row[6] - row[5] + lengths[-1]
                 last = (row[0], row[1])
         if held:
             yield from judge(held)
@@ -286,84 +308,81 @@ def _across(found: DataFrame, buckets: int) -> DataFrame:
     """Windows that two shares of a gram have seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        held: dict[int, list] = {}
         for batch in batches:
-            for raw in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
-                parts.append([np.frombuffer(x.as_buffer(), dtype=kind) for x, kind in zip(raw, (np.uint64, np.int64, np.int32, bool), strict=True)])
-        if not parts:
-            return
-        d, uid, start, own = (np.concatenate(c) for c in zip(*parts, strict=True))
-        d = d.reshape(-1, 2)
-        o = np.lexsort((d[:, 1], d[:, 0]))
-        same = (d[o][1:] == d[o][:-1]).all(axis=1)
-        twice = np.zeros(len(o), dtype=bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        o = o[twice & ~own[o]]
-        o = o[np.lexsort((start[o], uid[o]))]
-        if len(o):
-            cut = np.flatnonzero(np.r_[True, (uid[o][1:] != uid[o][:-1]) | (start[o][1:] != start[o][:-1] + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(uid[o][cut]), pa.array(start[o][cut]), pa.array(start[o][np.r_[cut[1:], len(o)] - 1])], ["uid", "a", "b"])
-
-    packed = found.where("bucket is not null").select("bucket", "digests", "uids", "starts", "own")
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "uid long, a int, b int")
-
-
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(rows with uid, doc_id, sha, text), and (uid, whole, runs: array of repeated window starts a..b) where there are any."""
+            for level, *raw in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in range(2, 6)), strict=True):
+                held.setdefault(level, []).append([np.frombuffer(x.as_buffer(), dtype=kind) for x, kind in zip(raw, (np.uint64, "V16", np.int32, bool), strict=True)])
+        for level, parts in held.items():
+            d, uid, start, own = (np.concatenate(c) for c in zip(*parts, strict=True))
+            d, who = d.reshape(-1, 2), uid.view(np.uint64).reshape(-1, 2)
+            o = np.lexsort((d[:, 1], d[:, 0]))
+            same = (d[o][1:] == d[o][:-1]).all(axis=1)
+            twice = np.zeros(len(o), dtype=bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            o = o[twice & ~own[o]]
+            o = o[np.lexsort((start[o], who[o, 1], who[o, 0]))]
+            if len(o):
+                cut = np.flatnonzero(np.r_[True, (who[o][1:] != who[o][:-1]).any(axis=1) | (start[o][1:] != start[o][:-1] + 1)])
+                yield pa.RecordBatch.from_arrays([pa.array([uid[k].tobytes() for k in o[cut]], pa.binary()), pa.array(np.full(len(cut), level, dtype=np.int32)), pa.array(start[o][cut]), pa.array(start[o][np.r_[cut[1:], len(o)] - 1])], ["uid", "level", "a", "b"])
+
+    packed = found.where("bucket is not null").select("level", "bucket", "digests", "uids", "starts", "own")
+    return packed.repartition(buckets, "bucket").mapInArrow(run, "uid binary, level int, a int, b int")
+
+
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengths: tuple[int, ...] = (LENGTH,), group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """(rows with uid, doc_id, sha, text), and (uid, whole, runs: array of repeated window starts a..b of a level) where there are any.
+
+    ``lengths`` ascend; levels number them.
+    """
     spark = docs.sparkSession
     arrow_rows(spark, 300)
     rows = keyed(docs, doc_id, text)
-    ids = rows.withColumn("long_enough", F.octet_length("text") >= length).select("uid", "doc_id", "sha", "long_enough")
+    ids = rows.withColumn("long_enough", F.octet_length("text") >= lengths[0]).select("uid", "doc_id", "sha", "long_enough")
     ids = materialize(ids, "suffix-ids")
     kinds = materialize(classes(ids), "suffix-classes")
-    settled = anchored_settled(rows, length)
-    found = anchored(rows, lambda column: find_anchors(column, length))
-    spots = repeated_anchors(found, kinds, across=False, label="suffix")
+    spots, settled = repeated_anchors(anchored(rows, lambda column: find_anchors(column, lengths)), kinds, across=False, label="suffix")
     buckets = shuffle_partitions(spark)
-    judged = materialize(_judged(_contexts(spots, rows, length, group), length, buckets), "suffix-found")
-    runs = judged.where("uid is not null").select("uid", "a", "b").unionByName(_across(judged, buckets)).unionByName(settled)
-    whole = ids.where("long_enough").join(kinds.where("copies > 1").select("sha"), "sha", "left_semi").select("uid", F.lit(True).alias("whole"), F.lit(None).cast("struct<a:int,b:int>").alias("run"))
-    every = runs.select("uid", F.lit(False).alias("whole"), F.struct("a", "b").alias("run")).unionByName(whole)
+    judged = materialize(_judged(_contexts(spots, rows, lengths[-1], group), lengths, buckets), "suffix-found")
+    discard(spots)
+    runs = judged.where("uid is not null").select("uid", "level", "a", "b").unionByName(_across(judged, buckets)).unionByName(settled.withColumnRenamed("kind", "level"))
+    whole = ids.where("long_enough").join(kinds.where("copies > 1").select("sha"), "sha", "left_semi").select("uid", F.lit(True).alias("whole"), F.lit(None).cast("struct<level:int,a:int,b:int>").alias("run"))
+    every = runs.select("uid", F.lit(False).alias("whole"), F.struct("level", "a", "b").alias("run")).unionByName(whole)
     return rows, every.groupBy("uid").agg(F.max("whole").alias("whole"), F.collect_list("run").alias("runs"))
 
 
-def anchored_settled(rows: DataFrame, length: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid = batch.column(0).to_pylist()
-            for row, a, b in find_anchors(batch.column(1), length, with_settled=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), uid[row])), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["uid", "a", "b"])
-
-    return rows.select("uid", "text").mapInArrow(run, "uid long, a int, b int")
-
-
-def removed(data: np.ndarray, whole: bool, runs: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
-    """Which bytes go."""
-    if whole:
+def covered(data: np.ndarray, whole: bool, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes windows cover that start from a to b."""
+    if whole and len(data) >= length:
         return np.ones(len(data), dtype=bool)
     edge = np.zeros(len(data) + 1, dtype=np.int32)
-    np.add.at(edge, runs[0], 1)
-    np.add.at(edge, np.minimum(runs[1] + length, len(data)), -1)
+    np.add.at(edge, a, 1)
+    np.add.at(edge, np.minimum(b + length, len(data)), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP, carry: tuple[str, ...] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``carry``, also what is left of the text, cut at
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, group: int = GROUP, carry: tuple[str, ...] | None = None, note: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``note``, a shorter length, n_repeated: bytes that such
+    strings cover which also start elsewhere (reported, not removed); with ``carry``, also what is left of the text, cut at
     characters, as kept, and the columns named."""
-    rows, found = spans(docs, doc_id, text, length, group)
+    lengths = (length,) if note is None else (note, length)
+    if sorted(set(lengths)) != list(lengths) or lengths[0] < 2 * GRAM or length > 4000:
+        raise ValueError(f"lengths must ascend from {2 * GRAM} to 4000")
+    rows, found = spans(docs, doc_id, text, lengths, group)
     with_text, carry = carry is not None, carry or ()
     if carry:
         rows = keyed(docs, doc_id, text, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int32)
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for t, whole, runs in zip(inflated(batch.column(1)), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 data = np.frombuffer(t, dtype=np.uint8)
                 s = runs.values
-                a, b = ((s.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if s is not None and len(s) else (np.zeros(0, np.int32),) * 2)
-                gone = removed(data, bool(whole), (a, b), length)
+                level, a, b = (s.field(k).to_numpy(zero_copy_only=False) for k in range(3)) if s is not None and len(s) else (none,) * 3
+                by = [covered(data, bool(whole), a[level == k], b[level == k], n) for k, n in enumerate(lengths)]
+                gone = by[-1]
                 kept = data[~gone].tobytes()
                 left = None
                 if with_text:
@@ -375,15 +394,15 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                         left = data[~np.repeat(all_gone, size)].tobytes().decode()
                     else:
                         left = data.tobytes().decode()
-                for c, v in zip(out, (len(data), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest(), left), strict=True):
+                for c, v in zip(out, (len(data), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest(), int(by[0].sum()), left), strict=True):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
             arrays = [pa.array(c, type=k) for c, k in zip(out, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[: 4 + with_text], *batch.columns[4:]], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays[:4], *arrays[4:5] * (note is not None), *arrays[5:] * with_text, *batch.columns[4:]], names)
 
     arrow_rows(docs.sparkSession, 300)
     joined = squeezed(rows.select("uid", "doc_id", "text", *carry)).join(found, "uid", "left").select("doc_id", "text", "whole", "runs", *carry)
     fields = [T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()))]
-    fields += [T.StructField("kept", T.StringType())] * with_text + joined.schema.fields[4:]
+    fields += [T.StructField("n_repeated", T.LongType())] * (note is not None) + [T.StructField("kept", T.StringType())] * with_text + joined.schema.fields[4:]
     names = [f.name for f in fields]
     return joined.mapInArrow(run, T.StructType(fields))

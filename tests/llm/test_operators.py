@@ -218,15 +218,29 @@ def brute_bytes(rows, length):
                 gone[s : s + length] = True
         runs = int(np.sum(np.diff(np.r_[0, gone.astype(int)]) == 1))
         out.append((k, len(d), int(gone.sum()), runs, hashlib.sha256(bytes(b for b, g in zip(d, gone, strict=True) if not g)).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("group", [suffix_dedup.GROUP, 3])
 def test_suffix_dedup(docs, none, group):
-    assert sorted(map(tuple, suffix_dedup.cleaned(docs, group=group).collect())) == brute_bytes(corpus(), 400)
+    assert sorted(map(tuple, suffix_dedup.cleaned(docs, group=group).collect()), key=str) == brute_bytes(corpus(), 400)
     assert suffix_dedup.cleaned(none).count() == 0
 
 
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 3])
+def test_suffix_dedup_notes_shorter_repeats(spark, group):
+    rng = np.random.default_rng(12)
+    short = [words(45, rng)[:260], "é" * 110, "ab" * 100, words(60, rng)[:399]]
+    rows = corpus() + [(200 + k, words(30, rng) + " " + short[k % 4] + " " + words(int(rng.integers(0, 60)), rng)) for k in range(16)]
+    rows += [(300, "xyz" * 100), (301, "q" * 230 + words(40, rng)), (302, "z" * 230), (303, None), (None, short[0] + "!" + words(100, rng))]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_repeated", F.lit(0)).repartition(3)
+    got = [tuple(r) for r in suffix_dedup.cleaned(docs, group=group, note=200).collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted((r[:5] for r in got), key=key) == sorted(brute_bytes(rows, 400), key=key)
+    assert sorted(((*r[:2], r[5]) for r in got), key=key) == sorted((r[:3] for r in brute_bytes(rows, 200)), key=key)
+    assert sorted(map(tuple, suffix_dedup.cleaned(docs, group=group, length=200).collect()), key=key) == sorted(brute_bytes(rows, 200), key=key)
+
+
 def test_suffix_dedup_keeps_characters_whole(spark):
     rows = [(1, "é" * 250 + "a"), (2, "xx" + "é" * 250), (3, "plain")]
     got = {r["doc_id"]: r["kept"] for r in suffix_dedup.cleaned(spark.createDataFrame(rows, SCHEMA), carry=()).collect()}
@@ -424,13 +438,18 @@ def test_word_hashes_do_not_depend_on_slices(monkeypatch):
     assert (common.word_hashes(data, starts, ends, True) == whole).all()
 
 
-def test_suffix_dedup_of_very_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "LONG", 700)
+@pytest.mark.parametrize("lengths", [(400,), (200, 400)])
+def test_suffix_dedup_of_very_long_texts(spark, monkeypatch, lengths):
     rows = [(k, t) for k, t in corpus() if t and len(t) > 300]
-    found = list(suffix_dedup.find_anchors(__import__("pyarrow").array([rows[0][1] * 5]), 400))
-    assert len(found) == 1 and len(found[0]) == 5
-    covered = sorted((lo, hi) for lo, hi in zip(found[0][3], found[0][4], strict=True))
+    rows += [(k + 100, t + t[-500:]) for k, t in rows[:5]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(suffix_dedup, "LONG", 700)
     data = (rows[0][1] * 5).encode()
-    at = {s for lo, hi in covered for s in range(lo, hi + 1)}
-    settled = {s for _, x, y in suffix_dedup.find_anchors(__import__("pyarrow").array([rows[0][1] * 5]), 400, True) for a, b in zip(x, y, strict=True) for s in range(a, b + 1)}
-    assert at | settled == set(range(len(data) - 399))
+    for k, *found in suffix_dedup.find_anchors(__import__("pyarrow").array([data.decode()]), lengths):
+        starts = [s for p, lo, hi in zip(*found[1:], strict=True) if p >= 0 for s in range(lo, hi + 1)]
+        assert k == 0 and len(starts) == len(set(starts))
+        settled = {s for p, lo, hi in zip(*found[1:], strict=True) if p < 0 for s in range(lo, hi + 1)}
+        assert set(starts) | settled == set(range(len(data) - lengths[0] + 1))
+    monkeypatch.undo()
+    want = sorted(map(tuple, suffix_dedup.cleaned(docs, note=200).collect()))
+    assert sorted((r[:5] for r in want), key=str) == brute_bytes(rows, 400)

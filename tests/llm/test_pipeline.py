@@ -53,6 +53,20 @@ def test_equal_ids_of_different_texts_stay(spark):
     assert got == Counter([(1, text(1)), (1, text(2)), (3, text(3)), (4, text(4)), (None, text(5)), (None, text(5))])
 
 
+def test_repeated_passages_go_and_clean_texts_stay(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passages = [line(n) for n in range(51, 71)]
+    clean = {k: line(r.randint(5, 300)) + " Made under the terms of a short licence." for k in range(40)}
+    with_passage = {100 + k: (line(80), passages[k % 20], line(40)) for k in range(60)}
+    texts = list(clean.items()) + [(k, "\n".join(t)) for k, t in with_passage.items()]
+    docs = spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: x["text"] for x in p.repeated_strings(spark, docs, "unused").collect()}
+    assert {k: got[k] for k in clean} == clean
+    assert all(got[k].replace("\n", "") == a + b for k, (a, _, b) in with_passage.items())
+
+
 def test_empty_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for name, stage in p.STAGES:
