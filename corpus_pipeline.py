@@ -19,6 +19,8 @@ from pagemill.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
+#: Bytes of a repeated string that goes: passages of over 50 words have as many (all but one in a hundred).
+REPEATED_BYTES = suffix_dedup.NOTE
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated strings out of the texts; what has nothing left goes."""
-    found = suffix_dedup.cleaned(docs, carry=("lang", "source"))
+    found = suffix_dedup.cleaned(docs, length=REPEATED_BYTES, carry=("lang", "source"))
     left = found.where((F.col("kept") != "") | (F.col("n_bytes") == 0))
     return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 
