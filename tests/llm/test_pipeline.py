@@ -64,7 +64,8 @@ def test_repeated_passages_go_and_clean_texts_stay(spark):
     docs = spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     got = {x["doc_id"]: x["text"] for x in p.repeated_strings(spark, docs, "unused").collect()}
     assert {k: got[k] for k in clean} == clean
-    assert all(got[k].replace("\n", "") == a + b for k, (a, _, b) in with_passage.items())
+    # Letters around a passage may be the same by chance.
+    assert all(len(a + b) - 8 <= len(got[k].replace("\n", "")) <= len(a + b) and m[8:48] not in got[k] for k, (a, m, b) in with_passage.items())
 
 
 def test_empty_tables(spark):
