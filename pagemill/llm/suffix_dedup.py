@@ -51,6 +51,7 @@ GROUP = 512
 #: Bytes of contexts that are held at once.
 BATCH = 8 << 20
 _C = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_D = np.random.default_rng(8).integers(1, 2**63, (4, 512), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -84,6 +85,20 @@ def window_digests(data: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def digests_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit digests of the ``length`` bytes at some places."""
+    out = np.empty((len(at), 2), dtype=np.uint64)
+    wide = -(-length // 8)
+    windows = np.lib.stride_tricks.sliding_window_view(data, length) if len(at) else None
+    for k in range(0, len(at), 20_000):
+        held = np.zeros((len(at[k : k + 20_000]), 8 * wide), dtype=np.uint8)
+        held[:, :length] = windows[at[k : k + 20_000]]
+        words = held.view("<u8")
+        for s in (0, 1):
+            out[k : k + 20_000, s] = mix((mix(words * _D[s, :wide]) * _D[2 + s, :wide]).sum(axis=1, dtype=np.uint64))
+    return out
+
+
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.r_[0, mask.astype(np.int8), 0])
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
@@ -158,24 +173,53 @@ def find_anchors(column: pa.Array, lengths: tuple[int, ...]) -> Iterator[tuple]:
             yield first + k, *(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarray, hi: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
-    """Which windows of each length are repeated among contexts of equal gid: flags by (length, context, place of the start from p - lengths[0] + GRAM on).
+def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarray, hi: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of each length are repeated among contexts of equal gid, and which are the first of their kind in the order
+    of suffixes: flags by (length, context, place of the start from p - lengths[0] + GRAM on).
 
     ``gid`` ascends. ``text[i]`` are the bytes from lo[i] on of its document, to where the longest window from hi[i] ends; ``p[i]`` its anchor.
     """
-    back, most = lengths[0] - GRAM, np.int16(lengths[-1])
-    n, wide = len(gid), lengths[0] - GRAM + lengths[-1]
+    back, n, wide = lengths[0] - GRAM, len(gid), lengths[0] - GRAM + lengths[-1]
     rows = np.zeros((n, wide), dtype=np.uint8)
     begin, last = lo - p + back, hi - p + back
     stop = begin + np.fromiter(map(len, text), dtype=np.int64, count=n)
     for i in range(n):
         rows[i, begin[i] : stop[i]] = text[i]
-    rows = np.ascontiguousarray(rows.T)
-    flags = np.zeros((len(lengths), back + 1, n), dtype=bool)
-    enters = np.argsort(-stop, kind="stable")
-    enters = enters[np.lexsort((gid[enters], -stop[enters]))]
+    flags = np.zeros((len(lengths), n, back + 1), dtype=bool)
+    place = np.arange(back + 1)
+    firsts = np.repeat(((place >= begin[:, None]) & (place <= last[:, None]))[None], len(lengths), axis=0)
+    some = np.flatnonzero(beside(rows, gid, begin, stop, back))
+    if len(some):
+        flags[:, some], firsts[:, some] = _inserted(np.ascontiguousarray(rows[some].T), gid[some], begin[some], last[some], stop[some], back, lengths)
+    return flags, firsts
+
+
+def beside(rows: np.ndarray, gid: np.ndarray, begin: np.ndarray, stop: np.ndarray, back: int) -> np.ndarray:
+    """Which contexts share what stands just before or just after the anchor with another one of their gram.
+
+    A repeated window reaches beyond the gram by ``back`` bytes in all, so by half of that on one side; the others need no order.
+    """
+    half = min(back // 2, 240) // 8 * 8
+    found = np.zeros(len(rows), dtype=bool)
+    for side, a, full in ((0, back - half, begin <= back - half), (1, back + GRAM, stop >= back + GRAM + half)):
+        at = np.flatnonzero(full)
+        if len(at) and half:
+            words = np.ascontiguousarray(rows[at, a : a + half]).view("<u8")
+            h = mix((mix(words * _C[: half // 8]) * _C[half // 8 : half // 4]).sum(axis=1, dtype=np.uint64) + gid[at].astype(np.uint64) * _C[63 - side])
+            _, inverse, size = np.unique(h, return_inverse=True, return_counts=True)
+            found[at[size[inverse] > 1]] = True
+    return found if half else np.ones(len(rows), dtype=bool)
+
+
+def _inserted(rows: np.ndarray, gid: np.ndarray, begin: np.ndarray, last: np.ndarray, stop: np.ndarray, back: int, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """``columns``, one symbol of each context a round. ``rows``: a row for each column of the collection."""
+    wide, n = rows.shape
+    most = np.int16(lengths[-1])
+    gid = np.cumsum(np.r_[0, gid[1:] != gid[:-1]]).astype(np.int32)
+    flags, firsts = (np.zeros((len(lengths), back + 1, n), dtype=bool) for _ in range(2))
+    enters = np.lexsort((gid, -stop)).astype(np.int32)
     entry = np.searchsorted(-stop[enters], -np.arange(wide + 1), side="left")
-    order, common = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int16)
+    order, common = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int16)
     for c in range(wide - 1, -1, -1):
         new = enters[entry[c + 1] : entry[c]] if c + 1 <= wide else enters[:0]
         if len(new):
@@ -185,7 +229,7 @@ def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarr
             order, common = order[k], common[k]
         if not len(order):
             continue
-        key = gid[order] * 256 + rows[c, order]
+        key = gid[order] * np.int32(256) + rows[c, order]
         if (key[1:] < key[:-1]).any():
             k = np.argsort(key, kind="stable")
             order, key = order[k], key[k]
@@ -209,6 +253,7 @@ def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarr
             for level, length in enumerate(lengths if len(own) else ()):
                 full = near >= length
                 full[0] = False
+                firsts[level, c, here[~full]] = True
                 full[:-1] |= full[1:]
                 flags[level, c, here[full]] = True
         stay = begin[order] < c
@@ -223,7 +268,7 @@ def columns(gid: np.ndarray, text: list[np.ndarray], p: np.ndarray, lo: np.ndarr
             # Of two grams' rows nothing is common.
             if len(order):
                 common[np.flatnonzero(np.r_[True, gid[order][1:] != gid[order][:-1]])] = 0
-    return flags.transpose(0, 2, 1)
+    return flags.transpose(0, 2, 1), firsts.transpose(0, 2, 1)
 
 
 CONTEXTS = "h long, salt int, shares int, uid binary, p int, lo int, hi int, body binary"
@@ -256,9 +301,12 @@ def _judged(contexts: DataFrame, lengths: tuple[int, ...], buckets: int) -> Data
         uid = pa.array([x[3] for x in held], pa.binary())
         gid = np.cumsum(np.r_[0, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
         text = [np.frombuffer(x[7].as_buffer(), dtype=np.uint8) for x in held]
-        flags = columns(gid, text, p, lo, hi, lengths)
+        flags, firsts = columns(gid, text, p, lo, hi, lengths)
         many = np.flatnonzero(shares > 1)
         keys = np.frombuffer(b"".join(held[k][3] for k in many), dtype="V16")
+        crowd = np.concatenate([text[k] for k in many]) if len(many) else None
+        size = np.array([len(text[k]) for k in many], dtype=np.int64)
+        at = np.cumsum(size) - size
         for level, length in enumerate(lengths):
             edge = np.diff(np.pad(flags[level].astype(np.int8), ((0, 0), (1, 1))), axis=1)
             i, a = np.nonzero(edge == 1)
@@ -266,18 +314,15 @@ def _judged(contexts: DataFrame, lengths: tuple[int, ...], buckets: int) -> Data
             base = p[i] - back
             none = pa.nulls(len(i), pa.binary())
             yield pa.RecordBatch.from_arrays([uid.take(pa.array(i)), pa.array(np.full(len(i), level, dtype=np.int32)), pa.array((base + a).astype(np.int32)), pa.array((base + b - 1).astype(np.int32)), pa.nulls(len(i), pa.int32()), none, none, none, none], schema=_FOUND)
-            # Near the end of its document a start may have no window of this length.
-            spans = np.array([max(0, min(hi[k] - lo[k] + 1, len(text[k]) - length + 1)) for k in many], dtype=np.int64)
-            if not spans.sum():
+            # Of a share's equal windows the first goes on. Near the end of its document a start may have no window of this length.
+            k, c = np.nonzero(firsts[level][many]) if len(many) else (many, many)
+            start = c + p[many[k]] - back
+            fits = start - lo[many[k]] + length <= size[k]
+            k, c, start = k[fits], c[fits], start[fits].astype(np.int32)
+            if not len(k):
                 continue
-            d = np.concatenate([window_digests(text[k], length)[:m] for k, m in zip(many, spans, strict=True)])
-            start = np.concatenate([np.arange(lo[k], lo[k] + m) for k, m in zip(many, spans, strict=True)]).astype(np.int32)
-            settled = np.concatenate([flags[level, k, lo[k] - p[k] + back :][:m] for k, m in zip(many, spans, strict=True)])
-            who, share = np.repeat(keys, spans), np.repeat(gid[many], spans)
-            # Of windows that the share has settled, one of each kind goes on.
-            o = np.lexsort((share, d[:, 1], d[:, 0]))
-            twin = np.r_[False, (d[o][1:] == d[o][:-1]).all(axis=1) & (share[o][1:] == share[o][:-1])]
-            o = o[~twin]
+            d = digests_at(crowd, at[k] + start - lo[many[k]], length)
+            settled, who, o = flags[level][many[k], c], keys[k], np.lexsort((d[:, 1], d[:, 0]))
             to = (d[o, 0] % np.uint64(buckets)).astype(np.int64)
             o = o[np.argsort(to, kind="stable")]
             to = np.sort(to)
