@@ -11,7 +11,8 @@ Sequence ids are ``partition * 2**40 + n``, so tasks number independently and a
 Only digests of pieces leave the task. A text of any length is encoded as a whole.
 
 Ids are those of the byte-level BPE file's own library. They are computed with the faster encoder of the same vocabulary
-and merges; texts with a code point that the two libraries' pattern engines class differently go to the first.
+and merges; texts with a code point that the two libraries' pattern engines class differently go to the first, and so do
+texts that the faster one gives up on (very long runs of blanks).
 
 Defined results: a null or empty text is just the end id; repeated rows are separate documents; an empty table gives none.
 """
@@ -58,7 +59,12 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if not text.isascii() and max(text) > "ɏ":
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return self.fast.encode_to_numpy(text, allowed_special=self.special).astype(np.uint32, copy=False)
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special=self.special).astype(np.uint32, copy=False)
+        except (KeyboardInterrupt, SystemExit):
+            raise
+        except BaseException:  # noqa: BLE001  its pattern engine gives up on very long runs, with a panic that is no Exception
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 _encoders: dict[str, Encoder] = {}

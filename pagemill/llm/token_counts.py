@@ -4,7 +4,9 @@ Pre-tokens (a run of word marks and the characters after it; no piece crosses su
 batch and held as ragged numpy arrays of symbol numbers. In each round every sequence applies its lowest-rank pair, all
 sequences at once; where no pair made with the new symbol can rank below it, all places of that pair in the sequence are
 merged in that round, else only the leftmost. Symbols that survive are counted; one outside the vocabulary counts as its
-UTF-8 bytes. Counts of pre-tokens met before are remembered, up to a bound, which alters no result.
+UTF-8 bytes. Counts of pre-tokens met before are remembered, up to a bound, which alters no result. Rounds over an unbroken
+run of very many characters would cost its length for each distinct pair; such a run (``LONG``) is merged place by place from
+a heap of pairs in the same order, with the same result.
 
 The vocabulary file is parsed here (it is a small protocol-buffer message), so only its pieces and scores are used.
 Defined results: a null text is empty and has 0 tokens; strings of control pieces inside a text are ordinary text.
@@ -12,6 +14,7 @@ Defined results: a null text is empty and has 0 tokens; strings of control piece
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ MARK = "▁"
 LIMIT = 4096
 #: Remembered pre-tokens in a Python worker; beyond it the memory starts afresh.
 REMEMBERED = 1_000_000
+#: Characters of a pre-token from which on it is merged from a heap.
+LONG = 4096
 _PRETOKEN = regex.compile(f"{MARK}+[^{MARK}]*")
 NONE = np.int64(2**31 - 1)
 
@@ -91,6 +96,7 @@ class PieceCounter:
         for side in (self.keys >> 32, self.keys & 0xFFFFFFFF):
             safe[side[ranks <= self.rank[side]]] = False
         self.safe = safe
+        self.table: dict[int, int] = {}
         self.single = {p: k for p, k in number.items() if len(p) == 1}
         self.known: dict[str, int] = {}
 
@@ -146,6 +152,32 @@ class PieceCounter:
             ranks[touched] = np.where(m >= 0, self.rank[m], NONE)
         return total
 
+    def merge_long(self, word: str) -> int:
+        """Tokens of one long pre-token: pairs in the order of rank, then place, from a heap."""
+        if not self.table:
+            self.table = dict(zip(self.keys.tolist(), self.made.tolist(), strict=True))
+        table, rank, single = self.table, self.rank.tolist(), self.single
+        sym = [single.get(c, -len(c.encode())) for c in word]
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        # An entry is rank, place and made symbol in one number; it holds while the pair at its place still makes that symbol.
+        heap = [rank[m] << 64 | i << 32 | m for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if a >= 0 and b >= 0 and (m := table.get(a << 32 | b)) is not None]
+        heapq.heapify(heap)
+        gone, end = None, len(sym)
+        while heap:
+            top = heapq.heappop(heap)
+            i, m = top >> 32 & 0xFFFFFFFF, top & 0xFFFFFFFF
+            a, j = sym[i], after[i]
+            if a is gone or a < 0 or j == end or sym[j] < 0 or table.get(a << 32 | sym[j]) != m:
+                continue
+            sym[i], sym[j] = m, gone
+            after[i] = nxt = after[j]
+            if nxt != end:
+                before[nxt] = i
+            for x, y in ((before[i], i), (i, nxt)):
+                if x >= 0 and y != end and sym[x] >= 0 and sym[y] >= 0 and (made := table.get(sym[x] << 32 | sym[y])) is not None:
+                    heapq.heappush(heap, rank[made] << 64 | x << 32 | made)
+        return sum(1 if s >= 0 else -s for s in sym if s is not gone)
+
     def _ranked(self, sym: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         made = np.full(len(sym), -1, dtype=np.int64)
         if len(sym) > 1:
@@ -160,6 +192,8 @@ class PieceCounter:
             self.known = {}
             fresh = list({w for words in found for w in words})
         # Slices of a bounded number of characters: the arrays of a round stay small.
+        self.known.update((w, self.merge_long(w)) for w in fresh if len(w) >= LONG)
+        fresh = [w for w in fresh if len(w) < LONG]
         part: list[str] = []
         chars = 0
         for w in [*fresh, None]:

@@ -2,11 +2,12 @@
 
 Queries are taken in slices of a proven size (``SLICE_VALUES`` vector components), which are broadcast to the candidates'
 tasks; candidates never move. For a slice, every round scores all candidates against all its queries in blocks and counts
-scores in bins, for each query within the bin that is known to hold its kth value; the counts of all tasks are summed, the
-bin in which the count from the top reaches k becomes the next round's range, and bins get narrower by ``SHRINK`` bits
-until they are one score wide. A task leaves out the bins below its own kth score: they cannot hold the kth value of all.
-With the kth value known, one more pass keeps the scores above it and, of the scores equal to it, the k smallest ids of
-each task; ties are then broken by id over all tasks.
+every score in a histogram of the query: bins over the range that is known to hold its kth value, which is all scores at
+first. The histograms of all tasks are summed, the bin in which the count from the top reaches k becomes the next round's
+range, and bins get narrower by up to ``SHRINK`` bits until they are one score wide. A task's histogram holds ``CELLS``
+counters at most, so more queries mean fewer bins a round; of it, bins go out from the top until they hold as many scores as
+are looked for: no lower bin can be the one. With the kth value known, one more pass keeps the scores above it and, of the
+scores equal to it, the k smallest ids of each task; ties are then broken by id over all tasks.
 
 Scores are exact integers: components that could overflow the fast path's 53 bits are multiplied as Python integers.
 
@@ -33,6 +34,8 @@ SCALE = 1024
 SLICE_VALUES = 2_000_000
 #: Bits by which bins get narrower in a round.
 SHRINK = 11
+#: Counters of a task's histograms.
+CELLS = 1 << 22
 _EXACT = 2.0**53
 #: Scores counted at once in a task.
 _BLOCK = 1 << 20
@@ -82,10 +85,6 @@ class Slice:
                 yield d, part, ids[rows], scores(queries[part], components)
 
 
-def _top(values: np.ndarray, k: int) -> np.ndarray:
-    return values if values.shape[1] <= k else np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k :]
-
-
 def search(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", vector: str = "embedding", slice_values: int = SLICE_VALUES) -> DataFrame:
     """query_id, rank, vec_id, score. ``is_query``: a condition on the column id."""
     spark = vectors.sparkSession
@@ -108,30 +107,38 @@ def _search_slice(spark, candidates: DataFrame, queries: DataFrame, k: int) -> D
     wide = max((d * max(1, int(np.abs(q).max(initial=0))) for d, (_, q) in part.by.items()), default=1) * max(1, int(most))
     bits = wide.bit_length() + 1
     state = {d: [[-(1 << bits), 1 << (bits + 1), k] for _ in ids] for d, (ids, _) in part.by.items()}  # low end, width, how many from the top of the bin
-    exact_type = np.int64 if bits < 62 else object
-    empty = -(1 << 62) if exact_type is np.int64 else -(1 << (bits + 2))
+    # Fewer bits a round where there are many queries.
+    step = max(1, min(SHRINK, (CELLS // max(1, sum(len(v) for v in state.values()))).bit_length() - 1))
     width = bits + 1
     while width > 0:
-        width = max(0, width - SHRINK)
-        state = _refine(spark, candidates, part, state, width, exact_type, empty)
+        width = max(0, width - step)
+        state = _refine(spark, candidates, part, state, width)
     low = {d: [s[0] for s in v] for d, v in state.items()}
     shared = spark.sparkContext.broadcast((part, low))
 
+    def best(q: np.ndarray, ids: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's k highest, equal scores by smaller id."""
+        o = np.array(sorted(range(len(q)), key=lambda x: (q[x], -found[x], ids[x])), dtype=np.int64) if found.dtype == object else np.lexsort((ids, -found, q))
+        q, ids, found = q[o], ids[o], found[o]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+        nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        return q[nth < k], ids[nth < k], found[nth < k]
+
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The task's k best of each query among scores not below the kth value; equal scores by smaller id."""
+        """Scores not below the kth value; what a task holds is cut to each query's k best whenever it has grown."""
         part, low = shared.value
-        best: dict = {}
+        held: dict[int, tuple] = {}
         for batch in batches:
             for d, which, ids, found in part.blocks(batch):
                 keys = part.by[d][0][which]
                 floor = np.array(low[d][which], dtype=object if found.dtype == object else np.int64)
                 q, c = np.nonzero((found >= floor[:, None]) & (keys[:, None] != ids[None, :]))
-                for row in np.unique(q):
-                    own = c[q == row]
-                    have = best.get((d, int(keys[row])), []) + [(-int(v), int(i)) for v, i in zip(found[row][own], ids[own], strict=True)]
-                    best[d, int(keys[row])] = sorted(have)[:k]
-        rows = [(key, i, str(-v)) for (_, key), have in best.items() for v, i in have]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["query_id", "vec_id", "score"])
+                if len(q):
+                    new = (keys[q], ids[c], found[q, c])
+                    held[d] = best(*(np.concatenate(x) for x in zip(held[d], new, strict=True))) if d in held else best(*new)
+        rows = list(held.values()) or [(np.zeros(0, np.int64),) * 3]
+        for q, ids, found in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array([str(v) for v in found], pa.string())], ["query_id", "vec_id", "score"])
 
     kept = candidates.mapInArrow(last, "query_id long, vec_id long, score string")
     # Scores travel as text, so that any size of integer does; those beyond 64 bits end the query with an overflow error.
@@ -140,30 +147,31 @@ def _search_slice(spark, candidates: DataFrame, queries: DataFrame, k: int) -> D
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _refine(spark, candidates: DataFrame, part: Slice, state: dict, width: int, kind: type, empty: int) -> dict:
-    """One round: histograms of 2**width-wide bins inside every query's range; the new range and what is left to find in it."""
+def _refine(spark, candidates: DataFrame, part: Slice, state: dict, width: int) -> dict:
+    """One round: histograms of 2**width-wide bins over every query's range; the new range and what is left to find in it."""
     shared = spark.sparkContext.broadcast((part, state))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, state = shared.value
-        keep = {d: np.full((len(v), max((s[2] for s in v), default=1)), empty, dtype=kind) for d, v in state.items()}
-        bounds = {d: (np.array([s[0] for s in v], dtype=kind), np.array([s[0] + s[1] for s in v], dtype=kind)) for d, v in state.items()}
+        bins = {d: max(s[1] for s in v) >> width for d, v in state.items()}
+        hist = {d: np.zeros((len(v), bins[d]), dtype=np.int64) for d, v in state.items()}
         for batch in batches:
             for d, which, ids, found in part.blocks(batch):
-                lo, hi = (b[which] for b in bounds[d])
-                inside = (found >= lo[:, None]) & (found < hi[:, None]) & (part.by[d][0][which][:, None] != ids[None, :])
-                values = np.where(inside, found.astype(kind, copy=False), empty)
-                width_kept = keep[d].shape[1]
-                keep[d][which] = _top(np.concatenate([keep[d][which], _top(values, width_kept)], axis=1), width_kept)
-        qs, bins, counts = [], [], []
-        for d, kept in keep.items():
-            for q, (row, (lo, _, need)) in enumerate(zip(kept, state[d], strict=True)):
-                own = np.sort(row[row > empty])[::-1][:need]
-                b, c = np.unique(np.array([(int(x) - lo) >> width for x in own], dtype=np.int64), return_counts=True)
-                qs += [f"{d}/{q}"] * len(b)
-                bins += b.tolist()
-                counts += c.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(qs, pa.string()), pa.array(bins, pa.int64()), pa.array(counts, pa.int64())], ["q", "bin", "n"])
+                n = bins[d]
+                kind = found.dtype if max(abs(s[0]) + s[1] for s in state[d][which]) < 1 << 62 else object
+                at = (found.astype(kind, copy=False) - np.array([s[0] for s in state[d][which]], dtype=kind)[:, None]) >> width
+                inside = (at >= 0) & (at < n) & (part.by[d][0][which][:, None] != ids[None, :])
+                q, c = np.nonzero(inside)
+                hist[d][which] += np.bincount(q * n + at[q, c].astype(np.int64), minlength=len(at) * n).reshape(len(at), n)
+        qs, at, counts = [], [], []
+        for d, h in hist.items():
+            # From the top until as many scores are counted as are looked for.
+            above = np.cumsum(h[:, ::-1], axis=1)[:, ::-1] - h
+            q, b = np.nonzero((h > 0) & (above < np.array([s[2] for s in state[d]])[:, None]))
+            qs += [f"{d}/{x}" for x in q]
+            at += b.tolist()
+            counts += h[q, b].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(qs, pa.string()), pa.array(at, pa.int64()), pa.array(counts, pa.int64())], ["q", "bin", "n"])
 
     hist = candidates.mapInArrow(count, "q string, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
     running = hist.withColumn("upto", F.sum("n").over(W.partitionBy("q").orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0)))
@@ -172,12 +180,13 @@ def _refine(spark, candidates: DataFrame, part: Slice, state: dict, width: int,
     # Of each query the highest bin at which the count from the top reaches what it needs; fewer scores than that: the lowest bin.
     reach = running.join(limits, "q").groupBy("q").agg(F.max(F.when(F.col("upto") >= F.col("need"), F.struct("bin", "upto", "n"))).alias("at"), F.min(F.struct("bin", "upto", "n")).alias("lowest"))
     found = {r.q: (r["at"] or r["lowest"]) for r in reach.collect()}  # a row for each query of the slice
+    shared.unpersist()
     out: dict = {}
     for d, v in state.items():
         out[d] = []
-        for q, (lo, span, need) in enumerate(v):
+        for q, (lo, _, need) in enumerate(v):
             at = found.get(f"{d}/{q}")
-            out[d].append([lo, span, need] if at is None else [lo + (at["bin"] << width), 1 << width, max(1, need - (at["upto"] - at["n"]))])
+            out[d].append([lo, 1 << width, need] if at is None else [lo + (at["bin"] << width), 1 << width, max(1, need - (at["upto"] - at["n"]))])
     return out
 
 

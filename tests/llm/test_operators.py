@@ -171,6 +171,13 @@ def test_encoder_is_the_library():
     assert all(own(x).tolist() == t.encode(x, add_special_tokens=False).ids for x in texts)
 
 
+def test_encoder_of_what_the_fast_one_refuses():
+    own = packing.Encoder(vocabulary("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000, "a" + " " * 1_200_000 + "b", "\n" * 1_000_000):
+        assert own(text).tolist() == own.slow.encode(text, add_special_tokens=False).ids
+    assert own("still works").tolist() == own.slow.encode("still works", add_special_tokens=False).ids
+
+
 # --- 3
 
 
@@ -196,6 +203,17 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_histograms_take_several_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(k, rng.normal(size=4).round(1).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    want = sorted(map(tuple, topk.search(df, F.pmod("id", F.lit(7)) == 0).collect()))
+    monkeypatch.setattr(topk, "CELLS", 100)  # two bins a round
+    assert sorted(map(tuple, topk.search(df, F.pmod("id", F.lit(7)) == 0).collect())) == want
+    one = spark.createDataFrame([(0, [1.0, 2.0]), (7, [1.0])], "vec_id long, embedding array<double>")
+    assert topk.search(one, F.col("id") >= 0).count() == 0
+
+
 def test_topk_of_large_components(spark):
     df = spark.createDataFrame([(0, [3e6, 1.0]), (1, [2e6, 5.0]), (2, [2e6, 6.0]), (3, [-3e6, 0.0])], "vec_id long, embedding array<double>")
     got = [(r["vec_id"], r["score"]) for r in topk.search(df, F.col("id") == 0, k=2).orderBy("rank").collect()]
@@ -413,6 +431,21 @@ def test_merging_is_the_library():
     assert own.count(texts).tolist() == [len(sp.encode(t)) for t in texts]
 
 
+def test_long_unbroken_runs_are_the_library():
+    import time
+
+    import sentencepiece
+
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model")), token_counts.PieceCounter(vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(10)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé日\0"), size=n)) for n in (4000, 5000, 30_000)] + ["ab" * 40_000, "a" * 100_001, "x " + "=-" * 9000 + " y"]
+    assert own.count(texts).tolist() == [len(sp.encode(t)) for t in texts]
+    began = time.perf_counter()
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), size=1_000_000))
+    assert own.count([text]).tolist() == [len(sp.encode(text))]
+    assert time.perf_counter() - began < 60
+
+
 # --- queries
 
 
