@@ -14,13 +14,15 @@ A document is the set of its distinct 5-word shingles (64-bit hashes of lower-ca
    m*m/2. Pairs that pass the length and positional filters are verified once, and linked ones are joined into components.
 4. Shingles all of whose documents are by now in one component are done. Of the others, every pair of documents in different
    components that passes the length, positional and suffix filters and was not verified before is verified. So no link
-   between components can be missed, and no pairs within a group of near copies are spelled out. The suffix filter bounds
-   from below how many shingles two sets do not share, here by signatures: a bit for each range of hashes, whether the set
-   has an odd number in it; where bits differ, the sets do.
+   between components can be missed, and no pairs within a group of near copies are spelled out.
+5. The suffix filter bounds from below how many shingles two sets do not share. Where candidates arise, texts are not at
+   hand, and signatures stand for the sets: a bit for each of fixed ranges of hashes, whether the set has an odd number in
+   it; where bits differ, the sets do. Verification gets both texts by joins on ids, hashes them anew, and bounds the
+   difference once more by recursive partition of both sets at a median, before common shingles are counted.
 
-A shingle that far more documents share than others (``HOT`` times) never meets in one array: its rows are salted for step
-3 and joined by Spark, which splits such a key, in step 4. Verification gets both texts by joins on ids, hashes them anew and
-counts common shingles.
+A shingle that far more documents share than others (``HOT`` times) never meets in one array: its rows are salted for step 3.
+In step 4 the documents of any shingle are dealt into blocks of about ``BLOCK``, and each pair of blocks is a cell of its own,
+so that a large group is spread over many tasks, none of which holds more than two blocks at a time.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing; fewer than five
 words are one shingle; rows of equal id are one document; rows without id get a null component unless their set has a class;
@@ -46,8 +48,13 @@ SHARE = (75, 100)
 #: Counters of the frequency sketch (a power of two), and the pieces in which it travels.
 SKETCH = 1 << 24
 PIECES = 256
-#: Bits of the longest parity signature.
-PARITY = 2048
+#: Bits of the longest parity signature; up to that, two to four bits a shingle.
+PARITY = 1 << 15
+#: Documents of a shingle in a block, on average; rows that a task compares at once.
+BLOCK = 1024
+HELD = 8192
+#: How often the suffix filter halves a set.
+DEPTH = 3
 #: A shingle in more documents than this, and than 4 times what is usual, is hot.
 HOT = 50_000
 #: Rows of a hot shingle that are ordered together.
@@ -282,63 +289,101 @@ def differ(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> np.ndarray
     return np.bitwise_count(fold(a, size_a) ^ fold(b, size_b)).sum(axis=1)
 
 
-def open_pairs(t, d, n, p, c, bits) -> Iterator[np.ndarray]:
-    """Pairs under a shingle of different components that pass the length, positional and suffix filters.
+def open_pairs(cell, d, n, p, c, b, bits) -> Iterator[np.ndarray]:
+    """Pairs within a cell of different components that pass the length, positional and suffix filters.
 
-    The rows of a shingle stand in order of set size; step by step each row meets the next one after it, until sizes pass
-    the length filter. ``bits``: signatures, as rows of 64-bit words, zero beyond their own length.
+    ``b`` is a row's block; where a cell has two, only pairs across them count. The rows of a cell stand in order of set size;
+    step by step each row meets the next one after it, until sizes pass the length filter. ``bits``: signatures.
     """
-    o = np.lexsort((d, n, t))
-    t, d, n, p, c, bits = t[o], d[o], n[o].astype(np.int64), p[o], c[o], bits[o]
-    size = np.minimum(np.maximum(256, 1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64)), PARITY) // 64
-    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-    span = np.diff(np.r_[start, len(t)])
+    o = np.lexsort((d, n, cell))
+    cell, d, n, p, c, b = cell[o], d[o], n[o].astype(np.int64), p[o], c[o], b[o]
+    size = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))[o] // 8
+    words = np.zeros((len(o), int(size.max())), dtype=np.uint64)
+    for k, at in enumerate(o):
+        words[k, : size[k]] = np.frombuffer(bits[at], dtype=np.uint64)
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    span = np.diff(np.r_[start, len(cell)])
     end = np.repeat(start + span, span)
-    i, step = np.arange(len(t)), 0
+    two = np.repeat(np.minimum.reduceat(b, start) < np.maximum.reduceat(b, start), span)
+    i, step = np.arange(len(cell)), 0
     while len(i):
         step += 1
         i = i[i + step < end[i]]
         i = i[SHARE[1] * n[i] >= SHARE[0] * n[i + step]]
-        for k in range(0, len(i), 100_000):
-            a = i[k : k + 100_000]
-            b = a + step
-            ok = (c[a] != c[b]) & (d[a] != d[b])
-            a, b = a[ok], b[ok]
-            ok = possible(n[a], p[a], n[b], p[b])
-            a, b = a[ok], b[ok]
-            most = n[a] + n[b] - 2 * least_common(n[a] + n[b])
-            keep = np.zeros(len(a), dtype=bool)
-            for x, y in {(int(x), int(y)) for x, y in zip(size[a], size[b], strict=True)}:
-                own = np.flatnonzero((size[a] == x) & (size[b] == y))
-                keep[own] = differ(bits[a[own]], bits[b[own]], x, y) <= most[own]
+        for k in range(0, len(i), 20_000):
+            x = i[k : k + 20_000]
+            y = x + step
+            ok = (c[x] != c[y]) & (d[x] != d[y]) & (~two[x] | (b[x] != b[y]))
+            x, y = x[ok], y[ok]
+            ok = possible(n[x], p[x], n[y], p[y])
+            x, y = x[ok], y[ok]
+            most = n[x] + n[y] - 2 * least_common(n[x] + n[y])
+            keep = np.zeros(len(x), dtype=bool)
+            for v, w in {(int(v), int(w)) for v, w in zip(size[x], size[y], strict=True)}:
+                own = np.flatnonzero((size[x] == v) & (size[y] == w))
+                keep[own] = differ(words[x[own]], words[y[own]], v, w) <= most[own]
             if keep.any():
-                yield np.unique(np.stack([np.minimum(d[a[keep]], d[b[keep]]), np.maximum(d[a[keep]], d[b[keep]])], axis=1), axis=0)
+                yield np.unique(np.stack([np.minimum(d[x[keep]], d[y[keep]]), np.maximum(d[x[keep]], d[y[keep]])], axis=1), axis=0)
 
 
 def _open_pairs(rows: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
     """All pairs under a shingle whose documents are in different components and pass the filters."""
-    marked = rows.join(labels, F.col("d") == F.col("node"), "left").select("t", "d", "n", "p", "hot", F.coalesce("component", "d").alias("c"))
+    marked = rows.join(labels, F.col("d") == F.col("node"), "left").select("t", "d", "n", "p", F.coalesce("component", "d").alias("c"))
     marked = materialize(marked, "jaccard-marked")
-    split = marked.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
+    split = marked.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    # Written before it is joined: right above an aggregate the join of a very common shingle cannot be split.
+    split = materialize(split, "jaccard-open")
     bits = profiles.where("bits is not null and doc_id is not null").groupBy("doc_id").agg(F.min("bits").alias("bits"))
-    left = marked.join(split, "t", "left_semi").join(bits, F.col("d") == F.col("doc_id")).drop("doc_id")
+    left = marked.join(split, "t").withColumn("b", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+    left = left.join(bits, F.col("d") == F.col("doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = left.select("t", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "d", "n", "p", "c", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, words = [], []
-        for batch in batches:
-            parts.append([batch.column(k).to_numpy() for k in range(5)])
-            words.append(np.frombuffer(b"".join(x.as_buffer().to_pybytes().ljust(PARITY // 8, b"\0") for x in batch.column(5)), dtype=np.uint64).reshape(-1, PARITY // 64))
-        if not parts:
-            return
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        for pairs in open_pairs(*columns, np.concatenate(words)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        held: list[pa.RecordBatch] = []
+        last = None
 
-    plain = left.where("not hot").select("t", "d", "n", "p", "c", "bits").repartition("t").mapInArrow(run, "a long, b long")
-    hot = left.where("hot")
-    x, y = hot.alias("x"), hot.alias("y")
-    busy = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.d") < F.col("y.d")) & (F.col("x.c") != F.col("y.c")) & _possible("x", "y"))
-    return plain.unionByName(busy.select(F.col("x.d").alias("a"), F.col("y.d").alias("b")))
+        def judge() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            t, i, j, b, d, n, p, c = (table.column(k).to_numpy() for k in range(8))
+            cell = np.cumsum(np.r_[0, (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            for pairs in open_pairs(cell, d, n, p, c, b, [x.as_buffer() for chunk in table.column(8).chunks for x in chunk]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+        # Cut where a cell ends, once enough rows are held.
+        for batch in batches:
+            keys = [tuple(x) for x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            begin = 0
+            for k, key in enumerate(keys):
+                if key != last and sum(x.num_rows for x in held) + k - begin >= HELD:
+                    if k > begin:
+                        held.append(batch.slice(begin, k - begin))
+                    yield from judge()
+                    held, begin = [], k
+                last = key
+            if begin < len(keys):
+                held.append(batch.slice(begin))
+        if held:
+            yield from judge()
+
+    return cells.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def suffix_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int = DEPTH) -> int:
+    """At least so many elements are in one of two sorted sets only: by halving one at its median and the other at the same
+    value, and each half again. Ends early above ``most``."""
+    if not depth or not len(x) or not len(y):
+        return abs(len(x) - len(y))
+    middle = len(y) // 2
+    k = int(np.searchsorted(x, y[middle]))
+    found = int(k < len(x) and x[k] == y[middle])
+    one, other = (x[:k], y[:middle]), (x[k + found :], y[middle + 1 :])
+    right = abs(len(other[0]) - len(other[1]))
+    if abs(k - middle) + right + 1 - found > most:
+        return abs(k - middle) + right + 1 - found
+    left = suffix_bound(*one, most - right - 1 + found, depth - 1)
+    if left + right + 1 - found > most:
+        return left + right + 1 - found
+    return left + suffix_bound(*other, most - left - 1 + found, depth - 1) + 1 - found
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -359,7 +404,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total = len(sets[x]) + len(sets[y])
                 need = least_common(total)
-                if SHARE[1] * min(len(sets[x]), len(sets[y])) < SHARE[0] * max(len(sets[x]), len(sets[y])):
+                if suffix_bound(sets[x], sets[y], total - 2 * need) > total - 2 * need:
                     continue
                 if len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= need:
                     a.append(x)
@@ -388,7 +433,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     tried = materialize(near.distinct(), "jaccard-pairs")
     links = materialize(verified(tried, docs).distinct(), "jaccard-links")
     labels = components(links, "jaccard-stars")
-    more = materialize(_open_pairs(shingles, labels, rows).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = materialize(_open_pairs(shingles.select("t", "d", "n", "p"), labels, rows).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     found = materialize(verified(more, docs).distinct(), "jaccard-links")
     if found.limit(1).count():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found), "jaccard-stars")

@@ -93,6 +93,8 @@ def test_jaccard_join_of_hot_shingles(docs, monkeypatch):
     want = sorted(map(tuple, jaccard_join.link(docs).collect()))
     monkeypatch.setattr(jaccard_join, "HOT", 2)
     monkeypatch.setattr(jaccard_join, "SALT", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "HELD", 5)
     assert sorted(map(tuple, jaccard_join.link(docs).collect())) == want
 
 
@@ -110,6 +112,33 @@ def test_signatures_never_overstate():
         assert jaccard_join.differ(x, y, x.shape[1], y.shape[1])[0] <= len(np.setxor1d(a, b))
 
 
+def test_suffix_filter_never_overstates():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 80, int(rng.integers(0, 60)), dtype=np.uint64)) for _ in range(2))
+        true = len(np.setxor1d(x, y))
+        for most in (0, 5, 1000):
+            bound = jaccard_join.suffix_bound(x, y, most)
+            assert bound <= true and jaccard_join.suffix_bound(x, x, most) == 0
+    assert jaccard_join.suffix_bound(np.arange(0, 1000, 2), np.arange(1, 1001, 2), 10**6) > 3
+
+
+def test_jaccard_join_of_a_shared_template(spark):
+    """Many documents share a template below the threshold, some pairs link: neither lost nor invented, over many cells."""
+    rng = np.random.default_rng(14)
+    template = words(70, rng)
+    rows = [(k, template + " " + words(40, rng)) for k in range(300)]
+    rows += [(1000 + k, rows[7 * k][1] + " end" + str(k)) for k in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {k: k for k, _ in rows} | {1000 + k: 7 * k for k in range(30)}
+    old, jaccard_join.BLOCK = jaccard_join.BLOCK, 50
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link(docs).collect()}
+    finally:
+        jaccard_join.BLOCK = old
+    assert got == want
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(6, 40)] + [(7, 200), (300, 300), (400, 401), (400, 401)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
