@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,14 +98,18 @@ def convert(spark: SparkSession, root: str, output: str | None = None, masking:
 
 
 def write_index(docs: DataFrame, target: str) -> None:
-    """INDEX.md, streamed entry by entry in the order of paths."""
-    lines, folder = ["# INDEX", "", f"> {WARNING}", ""], None
-    for r in index_lines(docs).orderBy("folder", "out_path").toLocalIterator():
-        if r["folder"] != folder:
-            folder = r["folder"]
-            lines += ["", f"## {folder or '.'}", ""] if len(lines) > 4 or folder else ["## .", ""]
-        lines.append(r["line"])
-    write_file(target, INDEX, "\n".join(lines) + "\n")
+    """INDEX.md, one file, streamed entry by entry in the order of paths; the driver holds one part of the entries at a time."""
+
+    def lines() -> Iterator[str]:
+        yield from ("# INDEX", "", f"> {WARNING}", "")
+        folder = None
+        for r in index_lines(docs).orderBy("folder", "out_path").toLocalIterator():
+            if r["folder"] != folder:
+                yield from ("", f"## {r['folder'] or '.'}", "")
+                folder = r["folder"]
+            yield r["line"]
+
+    write_file(target, INDEX, (line + "\n" for line in lines()))
 
 
 def _remove(path: str) -> None:

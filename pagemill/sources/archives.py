@@ -21,6 +21,8 @@ DEPTH = 3
 MOST_FILE = 256 << 20
 MOST_TOTAL = 1 << 30
 RATIO = 200
+#: Bytes of rows that go out together.
+HELD = 8 << 20
 
 
 def member_name(info: zipfile.ZipInfo) -> str:
@@ -82,14 +84,23 @@ def expanded(files: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in MEMBERS.split(", ")]
+        rows: list[tuple] = []
+        size = 0
         for batch in batches:
             for f in batch.itertuples(index=False):
                 content = None if f.content is None else bytes(f.content)
                 if content is not None and kind_of(content) == "zip":
-                    for member, data, problem in members(content, depth):
-                        yield pd.DataFrame([(f.path, member, len(data or b""), f.modified, data, problem or None)], columns=names)
+                    found = ((f.path, member, len(data or b""), f.modified, data, problem or None) for member, data, problem in members(content, depth))
                 else:
-                    yield pd.DataFrame([(f.path, None, f.length, f.modified, content, None if content is not None else "too large")], columns=names)
+                    found = iter([(f.path, None, f.length, f.modified, content, None if content is not None else "too large")])
+                for row in found:
+                    rows.append(row)
+                    size += 100 + len(row[4] or b"")
+                    if size > HELD:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "length", "modified", "content").mapInPandas(run, MEMBERS)
 

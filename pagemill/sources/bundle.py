@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,12 +30,12 @@ def safe_path(path: str, member: str | None) -> str:
     return "/".join(parts) + ".md"
 
 
-def write_file(root: str, name: str, text: str) -> None:
+def write_file(root: str, name: str, parts: Iterable[str]) -> None:
     target = os.path.join(root, name)
     os.makedirs(os.path.dirname(target), exist_ok=True)
     fresh = f"{target}.{os.getpid()}.tmp"
     with open(fresh, "w", encoding="utf-8", newline="\n") as f:
-        f.write(text)
+        f.writelines(parts)
     os.replace(fresh, target)
 
 
@@ -45,7 +45,7 @@ def write_bundle(docs: DataFrame, root: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for out_path, markdown in zip(batch["out_path"], batch["markdown"], strict=True):
-                write_file(root, out_path, markdown or "")
+                write_file(root, out_path, [markdown or ""])
             yield batch[["doc_id", "out_path"]]
 
     return docs.select("doc_id", "out_path", "markdown").mapInPandas(run, "doc_id string, out_path string")
