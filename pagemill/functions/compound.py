@@ -352,8 +352,9 @@ def xls(content: bytes) -> list[Block]:
         if name is not None:
             out.append(heading(name, 2))
             if cells:
-                high, wide = 1 + max(r for r, _ in cells), 1 + max(c for _, c in cells)
-                out.append(table([[cells.get((r, c), "") for c in range(wide)] for r in range(high)]))
+                # Rows without cells leave nothing in a table, so one cell far down costs one row.
+                wide = 1 + max(c for _, c in cells)
+                out.append(table([[cells.get((r, c), "") for c in range(wide)] for r in sorted({r for r, _ in cells})]))
         cells = {}
 
     for at, (kind, pieces) in zip(place, _biff(data), strict=False):

@@ -133,3 +133,72 @@ def test_places_stay_in_the_bundle(path, member):
     place = safe_path(path or "x", member)
     assert place.endswith(".md") and not place.startswith("/") and ".." not in place.split("/")
     assert all(len(p.encode()) < 256 for p in place.split("/"))
+
+
+def _pdf(streams: dict[int, tuple[bytes, bytes]], page: bytes = b"/Contents 4 0 R /Resources << /Font << /F1 5 0 R >> /XObject << /X 6 0 R >> >>") -> bytes:
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: b"<< /Type /Page /Parent 2 0 R " + page + b" >>", 5: b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"}
+    objects |= {n: b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(data), head, data) for n, (head, data) in streams.items()}
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in sorted(objects.items())) + b"trailer << /Root 1 0 R >>\n%%EOF\n"
+
+
+def _lzw(data: bytes) -> bytes:
+    """As an encoder with early change writes it."""
+    table = {bytes([k]): k for k in range(256)}
+    bits, wide, size, nxt, now = 0, 0, 9, 258, b""
+
+    def put(code: int) -> None:
+        nonlocal bits, wide
+        bits, wide = bits << size | code, wide + size
+
+    put(256)
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if now + c in table:
+            now += c
+            continue
+        put(table[now])
+        table[now + c] = nxt
+        nxt += 1
+        size = max(9, min(12, nxt.bit_length()))
+        if nxt == 4094:
+            put(256)
+            table, nxt, size = {bytes([x]): x for x in range(256)}, 258, 9
+        now = c
+    if now:
+        put(table[now])
+        size = max(9, min(12, (nxt + 1).bit_length()))
+    put(257)
+    return (bits << -wide % 8).to_bytes(-(-wide // 8), "big")
+
+
+def test_pdf_streams_in_other_forms():
+    said = b"".join(b"BT /F1 12 Tf 0 -14 Td (line %d of many) Tj ET\n" % k for k in range(900))
+    want = [f"line {k} of many" for k in range(900)]
+    rolled = b"".join(bytes([len(said[k : k + 100]) - 1]) + said[k : k + 100] for k in range(0, len(said), 100)) + b"\x80"
+    for head, data in ((b"/Filter /LZWDecode", _lzw(said)), (b"/Filter /RunLengthDecode", rolled), (b"/Filter [/ASCIIHexDecode /LZWDecode]", _lzw(said).hex().encode() + b">")):
+        kind, _, markdown, error = parse(_pdf({4: (head, data)}))
+        assert kind == "pdf" and not error and markdown.split("\n")[2:-1] == want
+    from pagemill.functions.pdf import _unrolled
+
+    assert _unrolled(b"\x02abc\xfex\x80zz") == b"abcxxx"
+
+
+def test_pdf_forms_are_read_and_what_is_not_read_is_an_error():
+    form = b"/Type /XObject /Subtype /Form /Resources << /Font << /F1 5 0 R >> /XObject << /X 6 0 R >> >>"
+    kind, _, markdown, error = parse(_pdf({4: (b"", b"BT /F1 9 Tf (before) Tj ET /X Do BT (after) Tj ET"), 6: (form, b"BT /F1 9 Tf (in the form) Tj ET /X Do")}))
+    assert (kind, error) == ("pdf", "") and markdown == "## Page 1\n\nbefore\nin the form after\n"
+    assert "JBIG2Decode" in parse(_pdf({4: (b"/Filter /JBIG2Decode", b"x")}))[3]
+    assert "damaged stream" in parse(_pdf({4: (b"/Filter /FlateDecode", b"not packed at all")}))[3]
+    assert "damaged stream" in parse(_pdf({4: (b"/Filter /LZWDecode", b"\xff\xf0\x00")}))[3]
+
+
+def test_one_far_cell_of_an_old_sheet():
+    from pagemill.functions.compound import xls
+
+    r = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    head = lambda at: r(0x85, struct.pack("<IBB", at, 0, 0) + b"\x01\x00s")
+    begin = r(0x809, struct.pack("<HHHHII", 0x600, 5, 0, 0, 0, 0))
+    start = len(begin + head(0) + r(0x0A, b""))
+    sheet = r(0x809, struct.pack("<HHHHII", 0x600, 0x10, 0, 0, 0, 0)) + r(0x27E, struct.pack("<HHHI", 0, 0, 0, 7 << 2 | 2)) + r(0x27E, struct.pack("<HHHI", 65535, 255, 0, 9 << 2 | 2)) + r(0x0A, b"")
+    blocks = xls(material.compound_file({"Workbook": (begin + head(start) + r(0x0A, b"") + sheet).ljust(4096, b"\0")}))
+    assert [len(row) for row in blocks[1].rows] == [256, 256] and blocks[1].rows[1][255] == "9"
