@@ -24,9 +24,11 @@ _SEPARATES[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(20240229)
-_BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FIRST = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Values of bytes for two hashes of a word that have nothing to do with each other.
+_BYTE_VALUES = _FIRST, _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,8 +185,8 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of every word's bytes, A-Z as a-z if ``lower``."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of every word's bytes, A-Z as a-z if ``lower``; ``which`` of two."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     if len(data) > 2 * SLICE_BYTES and len(starts) > 1:
@@ -193,13 +195,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
             a, b = starts[i], ends[j - 1]
-            out.append(word_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a, lower))
+            out.append(word_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a, lower, which))
             i = j
         return np.concatenate(out)
     up, down = _Powers.upto(len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE_VALUES[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
+    np.cumsum(_BYTE_VALUES[which][_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

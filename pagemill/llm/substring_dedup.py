@@ -15,7 +15,7 @@ document with a smaller id; windows are judged on the input. The steps:
    depth, so that each part is one node: its smallest id is a combining minimum over 128-bit digests of its words, and its members meet that minimum in
    a join which Spark may split.
 
-Words are compared by 64-bit hashes. Defined results: a null text has no words; fewer words than ``length`` are all kept; rows
+Words are compared by 64-bit hashes, windows of crowded parts by two such hashes that have nothing to do with each other. Defined results: a null text has no words; fewer words than ``length`` are all kept; rows
 of equal id are not before each other; a null id comes before all others; an empty table gives no rows.
 """
 
@@ -87,7 +87,7 @@ def _contexts(spots: DataFrame, rows: DataFrame, length: int, group: int) -> Dat
                         c.append(v)
                 if not few.all():
                     words = word_hashes(data, begin, end, lower=False)
-                    again = mix(words + np.uint64(1))
+                    again = word_hashes(data, begin, end, lower=False, which=1)
                     one, two = grams(words, length), grams(again, length)
                     part = lambda x, y: {"lo": x, "hi": y, "d1": digest(words[x : y + length]), "d2": digest(again[x : y + length])}  # noqa: B023, E731
                     inner = [part(x, y) | {"w1": one[x : y + 1].view(np.int64), "w2": two[x : y + 1].view(np.int64)} for x, y in zip(lo[~few].tolist(), hi[~few].tolist(), strict=True)]

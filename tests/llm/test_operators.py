@@ -380,6 +380,25 @@ def test_chat(spark):
     assert "".join(p["text"] for p in parts) == "### User: u</turn>\n### Assistant: v</turn>\n" and [p["text"] for p in parts if p["loss"]] == ["v"]
 
 
+def test_clashing_names_and_null_ids(spark):
+    """Columns that operators make, and rows without id."""
+    extra = {c: F.lit("x") for c in ("n_turns", "valid", "formatted_chars", "loss", "part", "turn_no", "doc_tokens", "sequence_id", "offset", "ids", "n_tokens", "n_bytes", "held_out", "lang_pred", "score", "n_words", "n_removed", "uid", "sha")}
+    turns = spark.createDataFrame([(1, 0, "user", "u"), (1, 1, "assistant", "v"), (None, 0, "user", "w")], "conv_id long, turn long, role string, text string")
+    plain = sorted(map(str, chat.digests(turns).collect()))
+    assert sorted(map(str, chat.digests(turns.withColumns(extra)).collect())) == plain and len(plain) == 2
+    docs = spark.createDataFrame([(1, "the one and the other", "en"), (2, "der eine und der andere", "de"), (None, "le premier et un autre", "fr"), (None, None, None), (3, words(30, RNG), "en"), (None, words(30, RNG), "en")], "doc_id long, text string, lang string")
+    for run in (
+        lambda d: language.identify(d),
+        lambda d: packing.pack(d, vocabulary("byte_bpe_50k.json")).drop("sequence_id", "offset"),
+        lambda d: token_counts.count_tokens(d, vocabulary("piece_bpe_32k.model")),
+        lambda d: suffix_dedup.cleaned(d, note=200),
+        lambda d: substring_dedup.cleaned(d),
+    ):
+        one, other = run(docs.repartition(2)), run(docs.withColumns(extra).repartition(2))
+        assert one.columns == other.columns and sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+        assert one.where("doc_id is null").count() >= 3
+
+
 # --- 8
 
 
