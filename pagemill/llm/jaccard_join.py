@@ -51,7 +51,7 @@ PIECES = 256
 #: Bits of the longest parity signature; up to that, two to four bits a shingle.
 PARITY = 1 << 15
 #: Documents of a shingle in a block, on average; rows that a task compares at once.
-BLOCK = 1024
+BLOCK = 512
 HELD = 8192
 #: How often the suffix filter halves a set.
 DEPTH = 3
