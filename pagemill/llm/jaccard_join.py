@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_rows, materialize, mix, shingle_sets, shuffle_partitions
+from pagemill.llm.common import arrow_rows, discard, materialize, mix, shingle_sets, shuffle_partitions
 from pagemill.llm.components import components
 
 #: Share of the union two documents must have in common, as a fraction.
@@ -326,8 +326,8 @@ def open_pairs(cell, d, n, p, c, b, bits) -> Iterator[np.ndarray]:
                 yield np.unique(np.stack([np.minimum(d[x[keep]], d[y[keep]]), np.maximum(d[x[keep]], d[y[keep]])], axis=1), axis=0)
 
 
-def _open_pairs(rows: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
-    """All pairs under a shingle whose documents are in different components and pass the filters."""
+def _open_pairs(rows: DataFrame, labels: DataFrame, profiles: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """All pairs under a shingle whose documents are in different components and pass the filters; and the steps written for it."""
     marked = rows.join(labels, F.col("d") == F.col("node"), "left").select("t", "d", "n", "p", F.coalesce("component", "d").alias("c"))
     marked = materialize(marked, "jaccard-marked")
     split = marked.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("t", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
@@ -365,7 +365,7 @@ def _open_pairs(rows: DataFrame, labels: DataFrame, profiles: DataFrame) -> Data
         if held:
             yield from judge()
 
-    return cells.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(run, "a long, b long")
+    return cells.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(run, "a long, b long"), (marked, split)
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int = DEPTH) -> int:
@@ -433,8 +433,11 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     tried = materialize(near.distinct(), "jaccard-pairs")
     links = materialize(verified(tried, docs).distinct(), "jaccard-links")
     labels = components(links, "jaccard-stars")
-    more = materialize(_open_pairs(shingles.select("t", "d", "n", "p"), labels, rows).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    pairs, steps = _open_pairs(shingles.select("t", "d", "n", "p"), labels, rows)
+    more = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
     found = materialize(verified(more, docs).distinct(), "jaccard-links")
+    discard(groups, tried, links, more, *steps)
+    sketch.unpersist()
     if found.limit(1).count():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found), "jaccard-stars")
     # Written before it is joined: right above an aggregate the join of a class with very many copies cannot be split.
