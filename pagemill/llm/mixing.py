@@ -9,7 +9,7 @@ documents of a source that come first in the order of a seeded hash are taken on
 met; of the last one, only as many words as are missing. The hash order is dealt into buckets, so that no source needs to
 be sorted in one task: sums for each (source, bucket) give every bucket its offset, and documents are summed in theirs.
 
-Defined results: a null text has size 0; a null source is a source, after all others; an empty source has target 0 and
+Defined results: a null text has size 0; a row without id has its place in the order by its text; a null source is a source, after all others; an empty source has target 0 and
 nothing is taken; equal rows are told apart by nothing, so each gets its share in any order; an empty table gives none.
 """
 
@@ -56,8 +56,9 @@ def water_fill(sources: DataFrame, budget: float = BUDGET, max_epochs: float = M
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", budget: float = BUDGET, max_epochs: float = MAX_EPOCHS, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source, source_size, target, taken (words, repeats counted) for each row of ``docs``."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source")).withColumn("h", order).withColumn("bucket", F.substring("h", 1, 3))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.col("by_text"))))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source"), F.when(F.col(doc_id).isNull(), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("by_text"))
+    sized = sized.withColumn("h", order).withColumn("bucket", F.substring("h", 1, 3)).drop("by_text")
     parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     sources = parts.groupBy("source").agg(F.sum("part").alias("source_size"))
     targets = water_fill(sources, budget, max_epochs, weights)
@@ -80,7 +81,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, source,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS nth FROM s),
 w AS (SELECT *, CAST([5, 2, 1][CAST((nth - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap,

@@ -6,16 +6,18 @@ judged on the input. The steps:
 1. Texts that are equal form a class; its first row stands for it. Of a class of two or more with ``length`` bytes, all
    bytes are repeated.
 2. Anchors (see ``repeats``) whose ``GRAM``-byte gram occurs once are dropped; the contexts of the others are cut out and
-   brought together by gram, aligned at their anchors.
+   brought together by gram, aligned at their anchors. A repeated window reaches beyond the gram on at least one side by
+   half of the rest of its length, so contexts that share neither side with another one take no part in the next step.
 3. The contexts of a batch of grams are a collection of short documents, and one symbol of each is inserted a round, from the
    right-most column to the left-most. A round holds the collection's order by suffixes (so its symbols, read in that
    order, are a column of the Burrows-Wheeler transform) and the common prefix of each with the one before; sorting the
    order stably by the new symbols gives the next order, and common prefixes follow from minima over the rows between.
    Contexts enter where their text ends and leave where it begins. A window whose common prefix with a neighbour has
-   ``length`` bytes is repeated, and no other is.
+   ``length`` bytes is repeated, and no other is. Several lengths are judged on the same common prefixes: anchors are
+   those of the shortest windows, and contexts reach as far as the longest.
 4. A gram with more than ``GROUP`` contexts is dealt into shares of about that size. A share settles the windows it sees
-   twice; 128-bit digests of what it saw (each window once) are packed, dealt by digest, and those seen by two shares
-   are settled too.
+   twice; 128-bit digests of the first of its equal windows, in the order of suffixes, are packed, dealt by digest, and those
+   seen by two shares are settled too.
 
 The sequential file a round reads is the shuffle's own: contexts arrive sorted by gram and are taken in batches of
 ``BATCH`` bytes, so memory is bounded whatever the input. Text runs of a short period have an anchor at every period;

@@ -431,6 +431,13 @@ def test_mixing(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in names) and len(got) == len(rows)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
     assert mixing.mix(df.limit(0)).count() == 0
+    # Rows without id are dealt over buckets as well, and come near their target.
+    bare = df.withColumn("doc_id", F.lit(None).cast("long"))
+    none = mixing.mix(bare).collect()
+    own = Counter()
+    for r in none:
+        own[r["source"]] += r["taken"]
+    assert all(abs(own[s] - target[s]) <= 1 for s in names) and sorted(map(str, none)) == sorted(map(str, mixing.mix(bare.repartition(5)).collect()))
 
 
 # --- 9
