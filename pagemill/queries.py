@@ -33,14 +33,18 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("body"))
-    docs = _table(spark, sf_dir, "documents").select(F.lit("document").alias("src"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    pages = _pages(spark, sf_dir).select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("body"))
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.lit("document").alias("src"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
     return pages.unionByName(docs).withColumn("kind", kind_of_text(F.col("body")))
 
 
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", flat_markdown(F.col("html")).alias("markdown"))
+    return _pages(spark, sf_dir).select("page_id", flat_markdown(F.col("html")).alias("markdown"))
 
 
 def doc_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +88,14 @@ def skim_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
+    pages = _pages(spark, sf_dir)
     found = pages.select("page_id", F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".md")).alias("out_path"), mask(page_title(F.col("html"))).alias("title"), kind_of_text(F.col("html")).alias("kind"), F.char_length(flat_markdown(F.col("html"))).cast("long").alias("n_chars"))
     return numbered(found, "page_id")
 
 
 def page_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as masked Markdown, with their place in the index."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", mask(page_title(F.col("html"))).alias("title"), mask(flat_markdown(F.col("html"))).alias("markdown"))
+    pages = _pages(spark, sf_dir).select("page_id", mask(page_title(F.col("html"))).alias("title"), mask(flat_markdown(F.col("html"))).alias("markdown"))
     return numbered(pages.withColumn("n_chars", F.char_length("markdown").cast("long")), "page_id")
 
 
