@@ -60,7 +60,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        # Small row groups: a writer holds one in memory.
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
@@ -77,8 +78,9 @@ def discard(*steps: DataFrame) -> None:
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows in an Arrow batch; small where rows are whole texts, so that a batch stays within a few MB."""
+    """Rows in an Arrow batch; small where rows are whole texts, so that a batch stays within a few MB. So are the batches of the scan."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(min(4096, max(256, rows))))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
