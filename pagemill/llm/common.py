@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes that separate words: blank and \t \n \v \f \r.
@@ -47,15 +48,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that their JVMs return the heap that earlier steps left; nothing in local mode.
+
+    A JVM keeps the heap it once needed, and counts twice while it starts a process, as Hadoop does (chmod) for each file
+    it writes to a local folder without its native library.
+    """
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # one is the driver
+    if executors > 0:
+        # So many tasks go to one executor each where all are idle; elsewhere some may miss theirs, which only costs memory.
+        collect = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+        spark.range(0, executors, 1, executors).select(collect.alias("done")).write.format("noop").mode("overwrite").save()
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The shuffle files of the job go with it, so disk holds the largest step and not the sum of all.
+    The shuffle files of the job go with it, so disk holds the largest step and not the sum of all. Before it, executors
+    return the heap of the steps that went before.
     """
     spark = df.sparkSession
+    give_back(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
@@ -73,3 +78,61 @@ def test_empty_tables(spark):
     for name, stage in p.STAGES:
         docs = materialize(stage(spark, docs, "unused"), f"test-{name}")
         assert docs.count() == 0
+
+
+LEFT_HEAP = """
+import os, sys, pathlib
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+import corpus_pipeline as p
+from pagemill.llm.common import materialize
+
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "1000m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": "file://" + sys.argv[1], "spark.sql.shuffle.partitions": "2", "spark.executor.extraJavaOptions": "-XX:InitialHeapSize=900m -XX:MinHeapSize=64m -XX:+AlwaysPreTouch -XX:MetaspaceSize=400m"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+
+
+def executors():
+    # What the JVMs of this session's executors hold, in MB.
+    found = []
+    for d in pathlib.Path("/proc").iterdir():
+        try:
+            said = (d / "cmdline").read_bytes()
+            if d.name.isdigit() and b"CoarseGrainedExecutorBackend" in said and spark.sparkContext.applicationId.encode() in said:
+                found.append(int((d / "statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20)
+        except OSError:
+            pass
+    return found
+
+
+docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+docs.write.format("noop").mode("overwrite").save()
+print("HELD", *executors())
+if sys.argv[2] == "stage":
+    p.language_id(spark, docs, "unused")
+else:
+    materialize(spark.range(1), "test-heap")
+print("HELD", *executors())
+spark.stop()
+"""
+
+
+def left_heap(kind, tmp_path):
+    """MB of each executor's JVM before and after."""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for x in Path(pyspark.__path__[0]).iterdir():
+        if x.name != "work":
+            (home / x.name).symlink_to(x)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path), "PYSPARK_PYTHON": sys.executable}
+    for name in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET"):
+        env.pop(name, None)
+    done = subprocess.run([sys.executable, "-c", LEFT_HEAP, str(tmp_path / "shared"), kind], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=180)
+    held = [sorted(map(int, x.split()[1:])) for x in done.stdout.splitlines() if x.startswith("HELD")]
+    assert len(held) == 2 and all(len(x) == 2 for x in held), done.stdout + done.stderr
+    return held
+
+
+def test_a_stage_begins_without_the_heap_of_those_before(tmp_path):
+    before, after = left_heap("stage", tmp_path)
+    assert before[0] > 900 and after[-1] < 800
