@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import _Powers, arrow_rows, discard, grams, inflated, materialize, mix, squeezed, text_slices, word_hashes, word_spans
+from pagemill.llm.common import _Powers, arrow_rows, discard, give_back, grams, inflated, materialize, mix, squeezed, text_slices, word_hashes, word_spans
 from pagemill.llm.repeats import anchor_runs, anchored, classes, keyed, least_in_window, repeated_anchors
 
 LENGTH = 13
@@ -232,5 +232,6 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     arrow_rows(spark, 300)
+    give_back(spark)
     joined = squeezed(rows.select("uid", "doc_id", "text")).join(found, "uid", "left").select(F.nullif("doc_id", F.lit(LEAST)).alias("doc_id"), "text", "whole", "runs")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

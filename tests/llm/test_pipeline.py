@@ -85,7 +85,7 @@ import os, sys, pathlib
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 import corpus_pipeline as p
-from pagemill.llm.common import materialize
+from pagemill.llm import substring_dedup
 
 conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "1000m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": "file://" + sys.argv[1], "spark.sql.shuffle.partitions": "2", "spark.executor.extraJavaOptions": "-XX:InitialHeapSize=900m -XX:MinHeapSize=64m -XX:+AlwaysPreTouch -XX:MetaspaceSize=400m"}
 spark = SparkSession.builder.config(map=conf).getOrCreate()
@@ -111,7 +111,7 @@ print("HELD", *executors())
 if sys.argv[2] == "stage":
     p.language_id(spark, docs, "unused")
 else:
-    materialize(spark.range(1), "test-heap")
+    substring_dedup.cleaned(docs)
 print("HELD", *executors())
 spark.stop()
 """
@@ -135,4 +135,11 @@ def left_heap(kind, tmp_path):
 
 def test_a_stage_begins_without_the_heap_of_those_before(tmp_path):
     before, after = left_heap("stage", tmp_path)
-    assert before[0] > 900 and after[-1] < 800
+    # An executor may miss a collection.
+    assert before[0] > 900 and after[0] < 800 and after[-1] < before[0]
+
+
+def test_substring_steps_begin_without_the_heap_of_those_before(tmp_path):
+    before, after = left_heap("substring", tmp_path)
+    # An executor may miss a collection.
+    assert before[0] > 900 and after[0] < 800 and after[-1] < before[0]
