@@ -56,10 +56,14 @@ def mask(text: Column, on: bool = True, rules: tuple[Rule, ...] = RULES) -> Colu
     return text
 
 
+def times(text: Column, token: str) -> Column:
+    """How often a token stands in the text."""
+    return (F.length(text) - F.length(F.replace(text, F.lit(token), F.lit("")))) / len(token)
+
+
 def hits(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """array<struct<kind, n>>: how often each kind was masked."""
     tokens = {rule.kind: rule.token.rpartition("[")[1] + rule.token.rpartition("[")[2] for rule in rules}
-    times = lambda t, token: (F.length(t) - F.length(F.replace(t, F.lit(token), F.lit("")))) / len(token)
     # The masked text is made once, as the only element of an array. No rule takes a token away again.
     each = lambda masked: F.array(*[F.struct(F.lit(kind).alias("kind"), (times(masked, token) - times(text, token)).cast("long").alias("n")) for kind, token in tokens.items()])
     return F.element_at(F.transform(F.array(mask(text, rules=rules)), each), 1)

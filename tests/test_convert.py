@@ -100,7 +100,7 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("name", ["doc_masked", "page_bundle", "index_entries"])
+@pytest.mark.parametrize("name", ["doc_masked", "page_bundle", "index_entries", "pii_hits"])
 def test_query_equals_its_sql_on_odd_texts(spark, tmp_path, name):
     pages = [t and f"<html><head><title>{t}</title></head>{t}<body><h1>{t}</h1><p>{t}<br>{t}</p></body></html>{t}" for t in ODD]
     spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
